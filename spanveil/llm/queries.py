@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ensure_importable
-from . import bpe, chat_format, mix, token_counts
+from ..runtime import ensure_importable, fresh_path
+from . import bpe, chat_format, media, mix, quality, token_counts
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"))
+    got = quality.score(docs, ranker, keep_text=False)
+    return got.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +48,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer()[0])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op4_byte_bpe, op8_mix_sources, op9_token_counts)}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
+    folder = fresh_path(spark, "media")
+    media.write_archives(table(spark, sf_dir, "documents"), folder)
+    got = media.describe(media.read_archives(spark, folder))
+    return got.select(F.col("key").cast("long").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op4_byte_bpe, op5_quality, op8_mix_sources, op9_token_counts, op10_media_columns)}
 
 SQL: dict[str, str] = {"op2_chat_formatting": chat_format.SQL, "op8_mix_sources": mix.SQL}
