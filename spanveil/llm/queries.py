@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ensure_importable, fresh_path
-from . import bpe, chat_format, media, mix, quality, token_counts
+from ..runtime import ensure_importable, fresh_path, written
+from . import bpe, chat_format, media, mix, quality, simhash, token_counts
 from .common import table
 
 
@@ -25,6 +25,13 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(t.unionByName(own)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
+    got, _ = written(simhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")), "simhash")
+    unsigned = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return simhash.group(got).select("doc_id", unsigned.alias("fingerprint"), "component_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_importable(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer())
@@ -56,6 +63,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").cast("long").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op4_byte_bpe, op5_quality, op8_mix_sources, op9_token_counts, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op3_simhash, op4_byte_bpe, op5_quality, op8_mix_sources, op9_token_counts, op10_media_columns)}
 
 SQL: dict[str, str] = {"op2_chat_formatting": chat_format.SQL, "op8_mix_sources": mix.SQL}
