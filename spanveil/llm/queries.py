@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_importable, fresh_path, written
-from . import bpe, chat_format, media, mix, quality, simhash, token_counts
+from . import bpe, chat_format, line_dedup, media, mix, quality, simhash, token_counts
 from .common import table
 
 
@@ -18,6 +18,12 @@ def _tokenizer() -> tuple[str, str]:
     return p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
+    got = line_dedup.delete_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = "</s>[INST] ok [/INST]"
@@ -63,6 +69,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").cast("long").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op3_simhash, op4_byte_bpe, op5_quality, op8_mix_sources, op9_token_counts, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_simhash, op4_byte_bpe, op5_quality, op8_mix_sources, op9_token_counts, op10_media_columns)}
 
 SQL: dict[str, str] = {"op2_chat_formatting": chat_format.SQL, "op8_mix_sources": mix.SQL}
