@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ensure_importable, fresh_path, written
-from . import bpe, chat_format, embed_dedup, line_dedup, media, mix, quality, simhash, token_counts
+from . import bpe, chat_format, embed_dedup, line_dedup, media, mix, quality, simhash, suffix_dedup, token_counts
 from .common import table
 
 
@@ -56,6 +56,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_importable(spark)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
@@ -74,6 +79,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").cast("long").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_simhash, op4_byte_bpe, op5_quality, op6_embedding_dedup, op8_mix_sources, op9_token_counts, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_simhash, op4_byte_bpe, op5_quality, op6_embedding_dedup, op7_suffix_dedup, op8_mix_sources, op9_token_counts, op10_media_columns)}
 
 SQL: dict[str, str] = {"op2_chat_formatting": chat_format.SQL, "op8_mix_sources": mix.SQL}
