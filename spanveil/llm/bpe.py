@@ -195,3 +195,29 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
             yield put(rest, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
     return df.mapInArrow(run, out_schema(df.drop(text), new))
+
+
+def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` without its text, with n_tokens long, ids array<int> and decoded_ok boolean (whether the ids decode to the text). Cases as in encode()."""
+    new = {"n_tokens": "long", "ids": "array<int>", "decoded_ok": "boolean"}
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        known = pieces(path, pattern)
+        for big in batches:
+            for at in range(0, len(big), 1024):
+                batch = big.slice(at, 1024)
+                flat, ends, ok = [], [0], []
+                for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
+                    for t, keys in zip(part, known.learn(part), strict=True):
+                        got = list(map(known.__getitem__, keys))
+                        flat.append(np.fromiter(chain.from_iterable(g[0] for g in got), np.int32))
+                        ends.append(ends[-1] + len(flat[-1]))
+                        ok.append(b"".join([g[2] for g in got]) == t.encode())
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.empty(0, np.int32)])))
+                rest = batch.select([n for n in batch.schema.names if n != text])
+                yield put(rest, {"n_tokens": pa.array(np.diff(ends)), "ids": ids, "decoded_ok": pa.array(ok, pa.bool_())})
+
+    return df.mapInArrow(run, out_schema(df.drop(text), new))

@@ -133,10 +133,25 @@ def group_bits(corr: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
+def cheapest_parts(n: int, max_bits: int) -> int:
+    """The number of parts for n fingerprints: few and wide ones cost probes (which are shuffled), many and narrow ones candidates."""
+
+    def cost(m: int) -> float:
+        total = max_bits - m + 1
+        probes = candidates = 0.0
+        for i in range(m):
+            w, t = 64 // m, total // m + (i < total % m)
+            near = sum(math.comb(w, d) for d in range(t + 1))
+            probes, candidates = probes + near, candidates + n * near / 2**w
+        return 20 * probes + candidates
+
+    return min(range(2, max(2, max_bits + 1) + 1), key=cost) if max_bits else 2
+
+
 def make_plan(fps: DataFrame, max_bits: int, parts: int | None = None) -> Plan:
     """From all rows of ``fps`` (fp). What reaches the driver is 64 x 64 sums and two histograms of at most 2^16 counts a part."""
     n = fps.count()
-    m = parts or max(2, min(max_bits + 1, 64 // max(16, math.ceil(math.log2(n + 2)))))
+    m = parts or cheapest_parts(n, max_bits)
 
     def sums(batches: Iterator) -> Iterator:
         import pyarrow as pa
