@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import written
 from .common import word_count
 
 #: Bands of virtual time; any number gives the same mix.
@@ -45,28 +46,32 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     win over carried columns of the same name.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    n = max(1, docs.count())
-    buckets = max(64, min(1 << 24, n // BUCKET_ROWS))
-    base = docs.select(
+    buckets = max(64, min(1 << 24, docs.count() // BUCKET_ROWS))
+    full = docs.select(
         F.col(doc_id).alias("id"), word_count(text).alias("size"), F.substring(key, 1, 16).alias("h"),
         F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")).alias("skey"),
         F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("string").alias("carried"),
     ).withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * buckets / F.lit(float(1 << 24))).cast("int"))
+    # texts are read once for the sizes, and once more only if they are to come along
+    base, _ = written(full.withColumn("carried", F.lit(None).cast("string")), "sizes")
     per_bucket = base.groupBy("skey", "bucket").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     # a row a source: Spark broadcasts it where it is small
     offsets = offsets.join(targets(per_bucket, weights, max_repeats, share), "skey")
     within = Window.partitionBy("skey", "bucket").orderBy("h", "id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = base.withColumn("cum", F.sum("size").over(within)).join(offsets, ["skey", "bucket"])
-    queued = queued.withColumn("cum", F.col("cum") + F.col("offset"))
+
+    def queue(of: DataFrame) -> DataFrame:
+        got = of.withColumn("cum", F.sum("size").over(within)).join(offsets, ["skey", "bucket"])
+        got = got.withColumn("cum", F.col("cum") + F.col("offset"))
+        epochs = F.when(F.col("target") > 0, F.lit(max_repeats)).otherwise(F.lit(1)).cast("int")
+        return got.withColumn("epochs", F.sequence(F.lit(0), epochs - 1))
 
     def finish(epoch: Column) -> Column:
         return F.when(F.col("target") > 0, (F.col("cum") + epoch * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
 
-    epochs = F.when(F.col("target") > 0, F.lit(max_repeats)).otherwise(F.lit(1)).cast("int")
-    queued = queued.withColumn("epochs", F.sequence(F.lit(0), epochs - 1))
-    items = queued.drop("carried").withColumn("epoch", F.explode("epochs")).withColumn("vft", finish(F.col("epoch")))
+    queued, _ = written(queue(base), "queue")
+    items = queued.withColumn("epoch", F.explode("epochs")).withColumn("vft", finish(F.col("epoch")))
     band = F.least(F.floor(F.col("vft") * BANDS), F.lit(4 * BANDS * max_repeats)).cast("int")
     bands = items.groupBy(band.alias("band")).agg(F.sum("size").alias("size"))
     up_to = Window.orderBy("band")
@@ -91,7 +96,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
         copies = F.size(F.filter("epochs", taken))
     new = {doc_id, "size", "source_size", "target", "copies", "taken", "first_finish"}
-    return queued.withColumn("copies", copies).select(
+    return (queue(full) if carry else queued).withColumn("copies", copies).select(
         F.col("id").alias(doc_id), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         finish(F.lit(0)).alias("first_finish"), *[F.col("carried").getField(c).alias(c) for c in carry if c not in new],
     )
