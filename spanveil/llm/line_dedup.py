@@ -104,7 +104,8 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     kept = marked.where("is_first")
     lines = kept.select("key", "o", F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("x")).select("key", "o", F.col("x.h").alias("line"), F.col("x.w").alias("words")).where("line != 0")
     holders = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("holder"), F.max("words").alias("words")).where((F.col("n") > 1) & ((F.col("n") <= rare) | (F.col("words") >= long_words)))
-    pairs = lines.select("key", "o", "line").join(holders.select("line", "holder"), "line").where(F.col("o") != F.col("holder")).select("key", _key("holder").alias("to")).distinct()
+    holders, _ = written(holders.select("line", "holder"), "holders")  # a table, so that the join can split a line that many have
+    pairs = lines.select("key", "o", "line").join(holders, "line").where(F.col("o") != F.col("holder")).select("key", _key("holder").alias("to")).distinct()
     sides = pairs.join(kept.select("key", "h", "w"), "key").join(kept.select(F.col("key").alias("to"), F.col("h").alias("g")), "to").select("key", "h", "w", "g")
 
     def run(batches: Iterator) -> Iterator:
