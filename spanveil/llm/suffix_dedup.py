@@ -215,8 +215,12 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        seen: set[str] = set()  # a text that a task meets again has the same places
         for batch in batches:
             for md5, t in zip(batch.column("md5"), batch.column("text"), strict=True):
+                if md5.as_py() in seen:
+                    continue
+                seen.add(md5.as_py())
                 raw = t.as_py().encode()
                 for h, a, lo, hi in anchors(raw, length):
                     first = [int.from_bytes(raw[p : p + 8]) >> 1 for p in a.tolist()]
