@@ -1,7 +1,7 @@
 """Chat formatting with budgeted windows, in DataFrame operations only.
 
 Prefix sums of turn tokens choose the windows: the line of a conversation's tokens is cut every ``stride`` =
-budget - system - history tokens, and a turn belongs to the window in whose stretch it ends.  A window starts with
+budget - system - history tokens (history: half of what the system turn leaves, at most), and a turn belongs to the window in whose stretch it ends.  A window starts with
 the conversation's leading system turn, repeats the turns that lie within the last ``history`` tokens before its
 stretch (masked), and ends with its own turns, whose assistant texts are the targets.  A turn that crosses a cut
 and is longer than ``history`` gets a window of its own.  So no window is above the budget unless one turn and
@@ -67,13 +67,14 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     sys_tokens = F.coalesce(F.col("system.tokens"), F.lit(0))
     rows = rows.withColumn("pos", F.col("rows_before") + F.col("rn")).where(F.col("system").isNull() | (F.col("pos") > 1))
     rows = rows.withColumn("end", F.col("tokens_before") + F.col("local") - sys_tokens).withColumn("start", F.col("end") - F.col("tokens"))
-    stride = F.greatest(F.lit(budget - history) - sys_tokens, F.lit(max(1, history)))
+    rows = rows.withColumn("past", F.greatest(F.lit(0), F.least(F.lit(history), F.floor((F.lit(budget) - sys_tokens) / 2))))
+    stride = F.greatest(F.lit(1), F.lit(budget) - sys_tokens - F.col("past"))
     cell = F.floor((F.col("end") - 1) / F.col("stride"))
-    own = (F.floor(F.col("start") / F.col("stride")) < F.col("cell")) & (F.col("tokens") > history)
+    own = (F.floor(F.col("start") / F.col("stride")) < F.col("cell")) & (F.col("tokens") > F.col("past"))
     rows = rows.withColumn("stride", stride).withColumn("cell", cell).withColumn("own", own)
     here = F.struct((F.col("cell") * 2 + F.when(F.col("own"), 0).otherwise(1)).alias("window_no"), F.lit(False).alias("repeated"))
     again = F.struct((F.col("cell") * 2 + 3).alias("window_no"), F.lit(True).alias("repeated"))
-    repeats = ~F.col("own") & (F.col("start") >= (F.col("cell") + 1) * F.col("stride") - history)
+    repeats = ~F.col("own") & (F.col("start") >= (F.col("cell") + 1) * F.col("stride") - F.col("past"))
     rows = rows.select("ck", "conv", "system", "pos", "role", "text", "tokens", F.inline(F.when(repeats, F.array(here, again)).otherwise(F.array(here))))
     got = rows.groupBy("ck", "window_no").agg(
         F.first("conv").alias("conv"), F.first("system").alias("system"), F.array_sort(F.collect_list(F.struct("pos", "repeated", "role", "text", "tokens"))).alias("t"),
@@ -130,10 +131,10 @@ r1 AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS to
     length(replace({_sql_escape('role')}, chr(10), '~3')) + length({_sql_escape('text')}) + 8 AS chars FROM r0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
 r2 AS (SELECT *, coalesce(max(tokens) FILTER (pos = 1 AND role = 'system' AND n > 1) OVER (PARTITION BY conv_id), 0) AS st, coalesce(max(chars) FILTER (pos = 1 AND role = 'system' AND n > 1) OVER (PARTITION BY conv_id), 0) AS sc,
     sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS p FROM r1),
-r3 AS (SELECT *, p - st AS e, p - st - tokens AS s, greatest(384 - st, 128) AS stride FROM r2 WHERE st = 0 OR pos > 1),
-r4 AS (SELECT *, CAST(floor((e - 1) / stride) AS BIGINT) AS cell, CAST(floor(s / stride) AS BIGINT) < CAST(floor((e - 1) / stride) AS BIGINT) AND tokens > 128 AS own FROM r3),
+r3 AS (SELECT *, p - st AS e, p - st - tokens AS s, greatest(0, least(128, CAST(floor((512 - st) / 2) AS BIGINT))) AS past, greatest(1, 512 - st - past) AS stride FROM r2 WHERE st = 0 OR pos > 1),
+r4 AS (SELECT *, CAST(floor((e - 1) / stride) AS BIGINT) AS cell, CAST(floor(s / stride) AS BIGINT) < CAST(floor((e - 1) / stride) AS BIGINT) AND tokens > past AS own FROM r3),
 w AS (SELECT conv_id, cell * 2 + CASE WHEN own THEN 0 ELSE 1 END AS wno, min(pos) AS first_pos, sum(chars) AS chars, any_value(sc) AS sc FROM r4 GROUP BY ALL),
-h AS (SELECT conv_id, cell * 2 + 3 AS wno, max(pos) AS last_pos, sum(chars) AS chars FROM r4 WHERE NOT own AND s >= (cell + 1) * stride - 128 GROUP BY ALL),
+h AS (SELECT conv_id, cell * 2 + 3 AS wno, max(pos) AS last_pos, sum(chars) AS chars FROM r4 WHERE NOT own AND s >= (cell + 1) * stride - past GROUP BY ALL),
 f AS (SELECT w.conv_id, sum(w.chars + w.sc + CASE WHEN h.last_pos + 1 = w.first_pos THEN h.chars ELSE 0 END) AS formatted_chars
     FROM w LEFT JOIN h ON w.conv_id IS NOT DISTINCT FROM h.conv_id AND w.wno = h.wno GROUP BY w.conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
