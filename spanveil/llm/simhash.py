@@ -287,6 +287,6 @@ def group(df: DataFrame, *, doc_id: str = "doc_id", max_bits: int = 4) -> DataFr
     nodes, _ = written(own, "fingerprints")
     roots = components(links(nodes.select("fp"), max_bits))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("__least").alias("component_id"))
+    least, _ = written(named.groupBy("root").agg(F.min("__least").alias("component_id")), "roots")  # a table, so that the join can split a large group
     named = named.join(least, "root").select("fp", "component_id")
     return df.drop("component_id").join(named, "fp")
