@@ -96,7 +96,7 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     own, _ = written(own, "lines")
     own = own.withColumn("key", _key("o")).drop_duplicates(["key"])
     # documents of equal text: all but the first lose their lines, if those are worth a block
-    first = own.groupBy(F.col("o.md5").alias("md5")).agg(F.min("o").alias("first"))
+    first, _ = written(own.groupBy(F.col("o.md5").alias("md5")).agg(F.min("o").alias("first")), "firsts")
     marked = own.join(first, F.col("o.md5") == first["md5"]).select("key", "o", "h", "w", (F.col("o") == F.col("first")).alias("is_first"))
     marked, _ = written(marked, "texts")
     whole = marked.where(~F.col("is_first") & (F.aggregate("w", F.lit(0), lambda a, x: a + x) >= min_words))
