@@ -66,7 +66,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", bpe_stage),
 ]
 
-#: Training, alignment and components aren't SQL; tests/llm/test_pipeline.py tells each stage's rows from brute force.
+#: Training, alignment and components aren't SQL; tests/llm tests the operators against brute force and the stages on a small table.
 ORACLE_SQL: str | None = None
 
 
