@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
@@ -223,18 +223,25 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 seen.add(md5.as_py())
                 raw = t.as_py().encode()
                 for h, a, lo, hi in anchors(raw, length):
-                    first = [int.from_bytes(raw[p : p + 8]) >> 1 for p in a.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([md5.as_py()] * len(a), pa.string()), pa.array(h), pa.array(a), pa.array(lo), pa.array(hi), pa.array(first, pa.int64())], names=["md5", "gram", "a", "lo", "hi", "first"])
-
-    places, _ = written(own.where(F.octet_length("text") >= length).select("md5", "text").mapInArrow(_whole_batches(find), "md5 string, gram long, a long, lo long, hi long, first long"), "anchors")
-    twice = places.groupBy("gram").agg(F.min(F.struct("md5", "a")).alias("x"), F.max(F.struct("md5", "a")).alias("y")).where("x != y").select("gram")
+                    by = np.argsort(h, kind="stable")  # a row for all places of a gram: repetitive texts have one at every byte
+                    h, a, lo, hi = h[by], a[by], lo[by], hi[by]
+                    new = np.append(0, np.flatnonzero(np.diff(h)) + 1)
+                    first = pa.array([int.from_bytes(raw[p : p + 8]) >> 1 for p in a.tolist()], pa.int64())
+                    at = pa.StructArray.from_arrays([pa.array(a), pa.array(lo), pa.array(hi), first], ["a", "lo", "hi", "first"])
+                    at = pa.ListArray.from_arrays(pa.array(np.append(new, len(h)), pa.int32()), at)
+                    yield pa.RecordBatch.from_arrays([pa.array([md5.as_py()] * len(new), pa.string()), pa.array(h[new]), at], names=["md5", "gram", "at"])
+
+    places, _ = written(own.where(F.octet_length("text") >= length).select("md5", "text").mapInArrow(_whole_batches(find), "md5 string, gram long, at array<struct<a:long,lo:long,hi:long,first:long>>"), "anchors")
+    least, most = F.struct("md5", F.array_min("at.a").alias("a")), F.struct("md5", F.array_max("at.a").alias("a"))
+    twice = places.groupBy("gram").agg(F.min(least).alias("x"), F.max(most).alias("y")).where("x != y").select("gram")
+    twice, _ = written(twice, "twice")  # a table, so that the join can split a gram that many texts have
     chosen = places.join(twice, "gram", "left_semi")
-    chosen = chosen.groupBy("md5").agg(F.collect_set(F.struct("a", "lo", "hi", "first")).alias("at"))
+    chosen = chosen.groupBy("md5").agg(F.flatten(F.collect_set("at")).alias("at"))
     texts = own.where(F.octet_length("text") >= length).groupBy("md5").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     texts, _ = written(texts.join(chosen, "md5", "left"), "texts")
-    n = texts.agg(F.sum(F.size("at"))).first()[0] or 0
+    n = texts.agg(F.sum(F.size(F.array_distinct("at.first")))).first()[0] or 0
     ranges = max(1, min(20_000, max(n // 8192, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    marks = texts.where("at is not null").select(F.explode("at.first").alias("f")).agg(F.percentile_approx("f", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []
+    marks = texts.where("at is not null").select(F.explode(F.array_distinct("at.first")).alias("f")).agg(F.percentile_approx("f", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []
     marks = sorted(set(marks)) if ranges > 1 else []
     # by text and id, so that the copies of a text don't meet in a task
     work = own.select("id", "md5", "text").join(texts.where("at is not null").select("md5", "id", "at"), ["md5", "id"]).select("md5", "text", "at")
@@ -243,8 +250,8 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         split, held, size = np.array(marks, np.int64), {}, 0
-        names = ["range", "run", "item", "md5", "a", "lo", "hi"]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["range", "run", "item", "md5", "at"]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "lo", "hi")]))]
 
         def flush():
             by: dict[int, list] = {}
@@ -253,29 +260,28 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             for r, items in by.items():
                 items.sort()
                 run = front_code(items)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([r], [run], *[[None]] * 5), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([r], [run], *[[None]] * 3), kinds, strict=True)], names=names)
             held.clear()
 
         for batch in batches:
             for md5, t, at in zip(*(batch.column(c) for c in ("md5", "text", "at")), strict=True):
-                raw, refs = t.as_py().encode(), []
+                raw, refs = t.as_py().encode(), {}
                 for s in at.as_py():
                     a, lo, hi = s["a"], s["lo"], s["hi"]
                     left, right = raw[lo:a], raw[a : hi + length]
                     digest = hashlib.md5(struct.pack("<H", len(left)) + left + right).digest()
-                    refs.append((digest, md5.as_py(), a, lo, hi))
+                    refs.setdefault(digest, []).append({"a": a, "lo": lo, "hi": hi})
                     if digest not in held:
                         held[digest] = int(np.searchsorted(split, s["first"], "right")), right, left
                         size += len(left) + len(right) + 200
-                d, m, a, lo, hi = zip(*refs, strict=True)
-                none = [None] * len(d)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, d, m, a, lo, hi), kinds, strict=True)], names=names)
+                none = [None] * len(refs)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, list(refs), [md5.as_py()] * len(refs), list(refs.values())), kinds, strict=True)], names=names)
             if size > RUN_BYTES:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    sorted_, _ = written(work.mapInArrow(sort, "range int, run binary, item binary, md5 string, a long, lo long, hi long"), "runs")
+    sorted_, _ = written(work.mapInArrow(sort, "range int, run binary, item binary, md5 string, at array<struct<a:long,lo:long,hi:long>>"), "runs")
 
     def merge(table):
         import pyarrow as pa
@@ -285,12 +291,12 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         return pa.table([pa.array(d, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["item", "first", "last"])
 
     merged = sorted_.where("run is not null").select("range", "run").groupBy("range").applyInArrow(merge, "item binary, first long, last long")
-    refs = sorted_.where("item is not null").select("item", "md5", "a", "lo", "hi").distinct()
-    again = refs.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("item", F.lit(0).cast("long").alias("first"), F.lit(1 << 40).alias("last"))
+    # a text's places may come in another order from rows that repeat an id
+    refs = sorted_.where("item is not null").select("item", "md5", F.array_sort("at").alias("at")).distinct()
+    again = refs.groupBy("item").agg(F.sum(F.size("at")).alias("n")).where("n > 1").select("item", F.lit(0).cast("long").alias("first"), F.lit(1 << 40).alias("last"))
     hits, _ = written(merged.union(again).groupBy("item").agg(F.collect_list(F.struct("first", "last")).alias("r")), "repeats")
-    start, end = F.greatest(F.col("lo"), F.col("a") - F.col("x.last")), F.least(F.col("hi"), F.col("a") - F.col("x.first")) + length
-    spans = refs.join(hits, "item").select("md5", "a", "lo", "hi", F.explode("r").alias("x")).select("md5", F.struct(start.alias("start"), end.alias("end")).alias("s")).where(F.col("s.end") - F.col("s.start") >= length)
-    spans = spans.groupBy("md5").agg(_union(F.array_sort(F.collect_set("s"))).alias("spans"))
+    spans = refs.join(hits, "item").select("md5", "at", "r").mapInArrow(_reach(length), "md5 string, spans array<struct<start:long,end:long>>")
+    spans = spans.groupBy("md5").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_union, "md5 string, spans array<struct<start:long,end:long>>")
     return texts.select("md5", "copies").join(spans, "md5", "left").where("copies > 1 or spans is not null")
 
 
@@ -313,10 +319,43 @@ def _whole_batches(f):
     return run
 
 
-def _union(spans: Column) -> Column:
-    """Ascending spans as their union's runs."""
-    grow = lambda acc, s: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(spans, F.slice(spans, 1, 0), grow)
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as ascending runs; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _spans_batch(md5: list[str], spans: list[list[tuple[int, int]]]):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([pa.array(md5, pa.string()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)], names=["md5", "spans"])
+
+
+def _reach(length: int):
+    """Bytes that the equal windows around an item's places cover, for rows (md5, at, r)."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            out = []
+            for at, r in zip(batch.column("at").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                got = ((max(p["lo"], p["a"] - x["last"]), min(p["hi"], p["a"] - x["first"]) + length) for p in at for x in r)
+                out.append(joined([(a, b) for a, b in got if b - a >= length]))
+            some = [i for i, x in enumerate(out) if x]
+            md5 = batch.column("md5").to_pylist()
+            yield _spans_batch([md5[i] for i in some], [out[i] for i in some])
+
+    return run
+
+
+def _union(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield _spans_batch(batch.column("md5").to_pylist(), [joined([(s["start"], s["end"]) for s in x]) for x in batch.column("spans").to_pylist()])
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, keep_bytes: bool = False) -> DataFrame:
