@@ -6,6 +6,9 @@ skips a part).  Each fingerprint allocates its own thresholds by dynamic program
 counts (histograms of all fingerprints, taken as independent between halves of a part), probes the part values
 within them, and verifies what it meets.  Crowded part values are dealt out as a grid of blocks.  A task emits a
 link only where it joins two sets that it hasn't joined yet, so dense groups cost a link a member, not a pair.
+
+64 bits tell similar texts from others only roughly.  Where ``more`` words of 64 bits from further hashes go along
+with each fingerprint, a pair that is met within ``max_bits`` is a link only if all bits differ in at most ``all_bits``.
 """
 
 from __future__ import annotations
@@ -28,34 +31,51 @@ BLOCK = 1024
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """Unsigned SimHash of the whole text: A-Z lower-cased, words at ASCII white space, XXH64 with seed 42 of shingles. No word: 0."""
+    return words_of_bits(text, shingle)[0]
+
+
+def words_of_bits(text: str | None, shingle: int = 4, more: int = 0) -> list[int]:
+    """fingerprint() and ``more`` further ones, each from the hashes of the one before, mixed."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * (1 + more)
     norm = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
     ends = (ends - 1).tolist()
     digest = xxhash.xxh64_intdigest
     k = min(shingle, len(words))
-    h = np.array([digest(norm[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)], dtype=np.uint64)
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    h, out = np.array([digest(norm[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)], dtype=np.uint64), []
+    for i in range(1 + more):
+        if i:
+            h = _mixed(h)
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+    return out
+
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash (the SplitMix64 step)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def fingerprints(df: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """``df`` without its text, with fp (long, the 64 bits as signed). Null texts have no words; a column fp is replaced."""
-    new = {"fp": "long"}
+
+def fingerprints(df: DataFrame, text: str = "text", shingle: int = 4, more: int = 0) -> DataFrame:
+    """``df`` without its text, with fp (long, the 64 bits as signed) and w1, w2 and so on for ``more``. Null texts have no words; columns of these names are replaced."""
+    names = ["fp", *(f"w{i + 1}" for i in range(more))]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            got = np.array([fingerprint(v.as_py(), shingle) for v in batch.column(text)], np.uint64).view(np.int64)
-            yield put(batch.select([n for n in batch.schema.names if n != text]), {"fp": pa.array(got, pa.int64())})
+            got = np.array([words_of_bits(v.as_py(), shingle, more) for v in batch.column(text)], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield put(batch.select([n for n in batch.schema.names if n != text]), {n: pa.array(got[:, i], pa.int64()) for i, n in enumerate(names)})
 
-    return df.mapInArrow(run, out_schema(df.drop(text), new))
+    return df.mapInArrow(run, out_schema(df.drop(text), dict.fromkeys(names, "long")))
 
 
 class Plan:
@@ -143,7 +163,7 @@ def cheapest_parts(n: int, max_bits: int) -> int:
             w, t = 64 // m, total // m + (i < total % m)
             near = sum(math.comb(w, d) for d in range(t + 1))
             probes, candidates = probes + near, candidates + n * near / 2**w
-        return 20 * probes + candidates
+        return 100 * probes + candidates  # a probe is a row of the shuffle, a candidate one comparison of many at once
 
     return min(range(2, max(2, max_bits + 1) + 1), key=cost) if max_bits else 2
 
@@ -210,18 +230,23 @@ class Sets:
         return True
 
 
-def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp, no repeats) within ``max_bits`` that connect whatever such links connect."""
+def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None, more: int = 0, all_bits: int = 0) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp, no repeats) within ``max_bits`` that connect whatever such links connect.
+
+    With ``more``: columns node, w1 and so on go along, links are between nodes and need ``all_bits`` too; fp may repeat.
+    """
     plan = plan or make_plan(fps, max_bits)
     masks = [[np.array([sum(1 << b for b in c) for c in combinations(range(len(p)), d)], np.int64) for d in range(max(plan.total + len(plan.parts), 1))] for p in plan.parts]
+    cols = ["fp", *(["node", *(f"w{i + 1}" for i in range(more))] if more else [])]
+    schema = ", ".join(f"{c} long" for c in ("key", *cols))
 
     def rows(batches: Iterator, probe: bool) -> Iterator:
         import pyarrow as pa
 
         for big in batches:
             for at in range(0, len(big), 4096):
-                fp = big.column(0).slice(at, 4096).to_numpy()
-                x = fp.view(np.uint64)
+                own = np.stack([c.slice(at, 4096).to_numpy() for c in big.columns])
+                x = own[0].view(np.uint64)
                 got = plan.allocate(x) if probe else None
                 for i, bits in enumerate(plan.parts):
                     v = take(x, bits)
@@ -230,15 +255,16 @@ def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None) -> DataFr
                         if len(on):
                             keys = (v[on][:, None] ^ masks[i][d][None, :] if probe else v[:, None]).ravel()
                             key = keys * len(plan.parts) + i
-                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(fp[on], len(key) // len(on)))], names=["key", "fp"])
+                            each = np.repeat(own[:, on], len(key) // len(on), axis=1)
+                            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in each)], names=["key", *cols])
 
-    data = fps.select("fp").mapInArrow(lambda it: rows(it, False), "key long, fp long")
-    probes = fps.select("fp").mapInArrow(lambda it: rows(it, True), "key long, fp long")
+    data = fps.select(*cols).mapInArrow(lambda it: rows(it, False), schema)
+    probes = fps.select(*cols).mapInArrow(lambda it: rows(it, True), schema)
     crowded = data.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
-    block = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("k"), F.lit(1))).cast("int")
+    block = F.pmod(F.xxhash64(*cols), F.coalesce(F.col("k"), F.lit(1))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1))
-    data = data.join(crowded, "key", "left").select("key", block.alias("d"), every.alias("p"), "fp", F.lit(0).alias("kind"))
-    probes = probes.join(crowded, "key", "left").select("key", every.alias("d"), block.alias("p"), "fp", F.lit(1).alias("kind"))
+    data = data.join(crowded, "key", "left").select("key", block.alias("d"), every.alias("p"), F.lit(0).alias("kind"), *cols)
+    probes = probes.join(crowded, "key", "left").select("key", every.alias("d"), block.alias("p"), F.lit(1).alias("kind"), *cols)
     dealt = data.union(probes).repartition("key", "d", "p").sortWithinPartitions("key", "d", "p", "kind")
 
     def meet(batches: Iterator) -> Iterator:
@@ -246,30 +272,41 @@ def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None) -> DataFr
 
         sets, at, held = Sets(), None, []
         for batch in batches:
-            key, d, p, fp, kind = (c.to_numpy() for c in batch.columns)
+            if not len(batch):
+                continue
+            key, d, p, kind, *own_cols = (c.to_numpy() for c in batch.columns)
+            whole = np.stack(own_cols)
+            ids = whole[1] if more else whole[0]
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])) + 1
             found: list[tuple[int, int]] = []
-            if not len(key):
-                continue
             begin, end = np.append(0, cuts), np.append(cuts, len(key))
-            worth = (np.minimum.reduceat(kind, begin) == 0) & (np.minimum.reduceat(fp, begin) != np.maximum.reduceat(fp, begin))
+            worth = (np.minimum.reduceat(kind, begin) == 0) & (np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin))
             worth[[0, -1]] = True  # a run may go on in the next batch
             for a, b in zip(begin[worth].tolist(), end[worth].tolist(), strict=True):
                 if at != (here := (key[a], d[a], p[a])):
                     at, held = here, []
                 k = a + int(np.searchsorted(kind[a:b], 1))
                 if k > a:
-                    held.append(fp[a:k])
+                    held.append(whole[:, a:k])
                 if k == b or not held:
                     continue
-                own = np.concatenate(held).view(np.uint64)
-                held = [own.view(np.int64)]
-                for s in range(k, b, 1024):
-                    q = fp[s : min(s + 1024, b)].view(np.uint64)
-                    i, j = np.nonzero(np.bitwise_count(q[:, None] ^ own[None, :]) <= max_bits)
-                    for x, y in zip(q[i].view(np.int64).tolist(), own[j].view(np.int64).tolist(), strict=True):
-                        if x != y and sets.join(x, y):
-                            found.append((x, y))
+                held = [np.concatenate(held, axis=1)]
+                own = held[0].view(np.uint64)
+                for s in range(k, b, 256):
+                    q = whole[:, s : min(s + 256, b)].view(np.uint64)
+                    i, j = np.nonzero(np.bitwise_count(q[0][:, None] ^ own[0][None, :]) <= max_bits)
+                    if more:
+                        far = sum(np.bitwise_count(q[r][i] ^ own[r][j]).astype(np.int64) for r in (0, *range(2, 2 + more)))
+                        i, j = i[far <= all_bits], j[far <= all_bits]
+                    x, y = q[min(more, 1)][i].view(np.int64), own[min(more, 1)][j].view(np.int64)
+                    if len(x) > 4096:  # a dense group: most of these are joined already
+                        seen, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+                        root = np.array([sets.root(v) for v in seen.tolist()])[back]
+                        new = root[: len(x)] != root[len(x) :]
+                        x, y = x[new], y[new]
+                    for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                        if u != v and sets.join(u, v):
+                            found.append((u, v))
             if found:
                 x, y = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -277,16 +314,19 @@ def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None) -> DataFr
     return dealt.mapInArrow(meet, "a long, b long")
 
 
-def group(df: DataFrame, *, doc_id: str = "doc_id", max_bits: int = 4) -> DataFrame:
+def group(df: DataFrame, *, doc_id: str = "doc_id", max_bits: int = 4, more: int = 0, all_bits: int = 0) -> DataFrame:
     """``df`` (with fp) and component_id: the smallest doc_id reachable by fingerprints within ``max_bits``, the row's own included.
 
-    Rows of equal fingerprints are linked.  Rows with a null id take part but name no component (null where a
-    component has no other); repeated rows come out each; an empty table gives an empty table.
+    With ``more``: by pairs that are within ``all_bits`` in fp, w1 and so on together, too.  Rows whose fingerprints
+    are equal in all words are linked.  Rows with a null id take part but name no component (null where a component
+    has no other); repeated rows come out each; an empty table gives an empty table.
     """
-    own = df.groupBy("fp").agg(F.min(doc_id).alias("__least"))
+    words = ["fp", *(f"w{i + 1}" for i in range(more))]
+    own = df.groupBy(*words).agg(F.min(doc_id).alias("__least"))
+    own = own.withColumn("node", F.xxhash64(*words) if more else F.col("fp"))
     nodes, _ = written(own, "fingerprints")
-    roots = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = components(links(nodes, max_bits, more=more, all_bits=all_bits))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least, _ = written(named.groupBy("root").agg(F.min("__least").alias("component_id")), "roots")  # a table, so that the join can split a large group
-    named = named.join(least, "root").select("fp", "component_id")
-    return df.drop("component_id").join(named, "fp")
+    named = named.join(least, "root").select(*words, "component_id")
+    return df.drop("component_id").join(named, words)

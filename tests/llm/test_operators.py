@@ -108,6 +108,36 @@ def test_simhash_components_equal_brute_force(spark):
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0 and simhash.fingerprint("A b\tc d") == __import__("xxhash").xxh64_intdigest("a b c d", 42)
 
 
+def test_simhash_with_more_words_equals_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(150)) for _ in range(12)]
+    for t in texts[:12]:
+        for cut in (3, 8, 20):
+            w = t.split()
+            for _ in range(cut):
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), "", None]
+    bits = [simhash.words_of_bits(t, 5, 2) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            each = [(x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True)]
+            if each[0] <= 12 and sum(each) <= 36:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    df = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=5, more=2)
+    got = {x.doc_id: x.component_id for x in simhash.group(df, max_bits=12, more=2, all_bits=36).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) < len(texts) - 12
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {x.node: x.root for x in components(e).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
