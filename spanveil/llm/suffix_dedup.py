@@ -365,6 +365,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     rows go wholly if they have ``length`` bytes.  Cases as in find_repeats(); columns of those names are replaced.
     """
     found = find_repeats(docs, doc_id=doc_id, text=text, length=length).withColumnsRenamed({"md5": "__md5", "spans": "__spans", "copies": "__copies"})
+    found, _ = written(found, "found")  # a table, so that the join can split a text that many rows have
     got = docs.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit("")))).join(found, "__md5", "left").drop("__md5")
     new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep_bytes else {})
 
