@@ -22,6 +22,8 @@ from .components import components
 
 #: Vectors to a block, about, and pivots at most; any numbers give the same links.
 BLOCK, PIVOTS = 4096, 1024
+#: Numbers gathered at once where node pairs are expanded, and child pairs from which a product of matrices does it; only speed and memory depend on them.
+EXPAND, WIDE = 1 << 21, 1 << 12
 #: What rounding may add to a distance.
 SLACK = 1e-6
 
@@ -88,8 +90,19 @@ class CoverTree:
         return t
 
 
+def _below(t: CoverTree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each node: where its children start in the list of all, how many, that list (a node without children is its own), and whether it has none, or none and one member."""
+    leaf = np.array([not len(k) for k in t.kids])
+    flat = [k if len(k) else np.array([n], np.int32) for n, k in enumerate(t.kids)]
+    many = np.array([len(k) for k in flat], np.int64)
+    return np.cumsum(many) - many, many, np.concatenate(flat), leaf, leaf & np.array([len(m) == 1 for m in t.members])
+
+
 def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (i in a, j in b) of pairs with at least that cosine; within one tree (a is b) each pair once."""
+    """Index arrays (i in a, j in b) of pairs with at least that cosine; within one tree (a is b) each pair once.
+
+    Node pairs are expanded many at a time: wide ones by a product of matrices, the others together, row by row.
+    """
     eps, same = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK, a is b
     if not len(a.center) or not len(b.center):
         return
@@ -101,12 +114,26 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.
         ok = c >= cosine
         return i[ok], j[ok]
 
-    todo = [(0, 0)]
+    at_a, n_a, kids_a, leaf_a, one_a = _below(a)
+    at_b, n_b, kids_b, leaf_b, one_b = _below(b)
+    most = max(1, EXPAND // a.x.shape[1])
+    todo = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+
+    def sift(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of single vectors are compared, the other node pairs within reach go on."""
+        both = one_a[i] & one_b[j]
+        x, y, v = a.center[i[both]], b.center[j[both]], c[both]
+        if same:
+            x, y, v = x[x != y], y[x != y], v[x != y]
+        if len(x):
+            yield exact(x, y, v)
+        if not both.all():
+            todo.append((i[~both], j[~both]))
+
     while todo:
-        p, q = todo.pop()
-        ps = a.kids[p] if len(a.kids[p]) else np.array([p], np.int32)
-        qs = b.kids[q] if len(b.kids[q]) else np.array([q], np.int32)
-        if not len(a.kids[p]) and not len(b.kids[q]):
+        ps, qs = todo.pop()
+        ends = leaf_a[ps] & leaf_b[qs]
+        for p, q in zip(ps[ends].tolist(), qs[ends].tolist(), strict=True):
             i, j = a.members[p], b.members[q]
             c = a.x[i] @ b.x[j].T
             m, n = np.nonzero(c >= cosine - 1e-9)
@@ -114,25 +141,36 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.
                 m, n = m[m < n], n[m < n]
             if len(m):
                 yield exact(i[m], j[n], c[m, n])
+        ps, qs = ps[~ends], qs[~ends]
+        wide = n_a[ps] * n_b[qs] > WIDE
+        for p, q in zip(ps[wide].tolist(), qs[wide].tolist(), strict=True):
+            rows_all, cols = kids_a[at_a[p] : at_a[p] + n_a[p]], kids_b[at_b[q] : at_b[q] + n_b[q]]
+            xq, rq = b.x[b.center[cols]].T, b.rho[cols]
+            for s in range(0, len(rows_all), 512):
+                rows = rows_all[s : s + 512]
+                c = a.x[a.center[rows]] @ xq
+                reach = np.minimum(eps + a.rho[rows][:, None] + rq[None, :], 2)
+                m, n = np.nonzero(c >= 1 - reach**2 / 2 - 1e-12)
+                if same and p == q:
+                    m, n = m[m + s <= n], n[m + s <= n]
+                yield from sift(rows[m], cols[n], c[m, n])
+        ps, qs = ps[~wide], qs[~wide]
+        if not len(ps):
             continue
-        one_p = np.array([len(a.members[k]) == 1 and not len(a.kids[k]) for k in ps])
-        one_q = np.array([len(b.members[k]) == 1 and not len(b.kids[k]) for k in qs])
-        xq, rq = b.x[b.center[qs]], b.rho[qs]
-        for s in range(0, len(ps), 512):
-            rows = ps[s : s + 512]
-            c = a.x[a.center[rows]] @ xq.T
-            reach = eps + a.rho[rows][:, None] + rq[None, :]
-            m, n = np.nonzero(c >= 1 - np.minimum(reach, 2) ** 2 / 2 - 1e-12)
-            if same and p == q:
-                m, n = m[m + s <= n], n[m + s <= n]
-            both = one_p[m + s] & one_q[n]
-            i, j = a.center[rows[m[both]]], b.center[qs[n[both]]]
-            v = c[m[both], n[both]]
-            if same:
-                v, i, j = v[i != j], i[i != j], j[i != j]
-            if len(i):
-                yield exact(i, j, v)
-            todo += zip(rows[m[~both]].tolist(), qs[n[~both]].tolist(), strict=True)
+        pairs = n_a[ps] * n_b[qs]
+        cut = max(1, int(np.searchsorted(np.cumsum(pairs), most, "right")))
+        if cut < len(ps):
+            todo.append((ps[cut:], qs[cut:]))
+            ps, qs, pairs = ps[:cut], qs[:cut], pairs[:cut]
+        of = np.repeat(np.arange(len(ps)), pairs)
+        m, n = np.divmod(np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs), n_b[qs][of])
+        if same:
+            once = (ps[of] != qs[of]) | (m <= n)
+            of, m, n = of[once], m[once], n[once]
+        i, j = kids_a[at_a[ps][of] + m], kids_b[at_b[qs][of] + n]
+        c = np.einsum("ij,ij->i", a.x[a.center[i]], b.x[b.center[j]])
+        near = c >= 1 - np.minimum(eps + a.rho[i] + b.rho[j], 2) ** 2 / 2 - 1e-12
+        yield from sift(i[near], j[near], c[near])
 
 
 class _Forest:
