@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bpe, line_dedup, mix, quality, simhash
+from spanveil.llm import bpe, jaccard, line_dedup, mix, quality
 from spanveil.llm.common import table
 from spanveil.runtime import ensure_importable, written
 
@@ -31,15 +31,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity about 0.8 or more): the one with the least id.
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the least id.
 
-    A similarity of 0.8 is a cosine of 0.89, an angle of 27 degrees: 9.7 of 64 bits on average.  Candidates are
-    within 12 bits; of them those are links that differ in at most 36 of 192 bits.  Documents with a null id go
-    only where their group has another; of repeated rows of an id one stays.
+    The bits of a SimHash tell a similarity of 0.8 from 0.6 only roughly, and any limit on them loses pairs, so the
+    links are all pairs whose shingle sets have that Jaccard similarity; every document that goes has such a
+    partner.  Documents with a null id go only where their group has another; of repeated rows of an id one stays.
     """
     ensure_importable(spark)
-    prints, _ = written(simhash.fingerprints(docs.select("doc_id", "text"), shingle=5, more=2), "simhash")
-    stay = simhash.group(prints, max_bits=12, more=2, all_bits=36).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    sets, _ = written(jaccard.sets_of(docs.select("doc_id", "text")), "shingles")
+    stay = jaccard.group(sets).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))
     stay = stay.select(key.alias("__key")).distinct()
     return docs.withColumn("__key", key).join(stay, "__key", "left_semi").drop_duplicates(["__key"]).select(*docs.columns)

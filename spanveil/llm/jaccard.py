@@ -1,0 +1,149 @@
+"""Near-duplicates by the exact Jaccard similarity of shingle sets: every pair of 0.8 or more, and no other.
+
+Two sets with a similarity of t or more share one of the first n - ceil(t n) + 1 members of each (of n), in any one
+order of all shingles.  The order is by the counts of a histogram of hashed shingles, so that common ones come last
+and prefixes meet rarely; any counts find the same pairs.  First each set is compared with one holder of each
+shingle of its prefix, which joins dense groups at a pair a shingle and member; then all pairs that share one and
+aren't joined yet.  Sizes and positions rule pairs out before their sets are read.  Shingles stand for their 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import written
+from .common import out_schema, put
+from .components import components
+
+#: The least similarity, as a fraction of whole numbers.
+TIMES, OF = 4, 5
+#: Counts of the histogram; any number finds the same pairs.
+COUNTS = 1 << 18
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Ascending distinct hashes of the shingles: A-Z lower-cased, words at ASCII white space; a text of fewer words is one shingle."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    norm = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    ends = (ends - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(norm[s:e], 42) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], dtype=np.uint64))
+
+
+def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """``df`` without its text, with members (binary, the shingles) and node (long, a hash of them: equal sets are one node)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            got = [shingles(v.as_py(), shingle).tobytes() for v in batch.column(text)]
+            node = np.array([xxhash.xxh64_intdigest(b, 7) for b in got], np.uint64).view(np.int64)
+            yield put(batch.select([n for n in batch.schema.names if n != text]), {"members": pa.array(got, pa.binary()), "node": pa.array(node, pa.int64())})
+
+    return df.mapInArrow(run, out_schema(df.drop(text), {"members": "binary", "node": "long"}))
+
+
+def counts_of(sets: DataFrame) -> np.ndarray:
+    """How many members fall to each of the COUNTS hashes; this many numbers reach the driver at most."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        out = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                np.add.at(out, (np.frombuffer(v.as_py(), np.uint64) % np.uint64(COUNTS)).astype(np.int64), 1)
+        k = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(out[k])], names=["k", "n"])
+
+    got = sets.select("members").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTS, np.int64)
+    out[got.column("k").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(s, node, n, at): the shingles of each set's prefix, with the set's size and their places in it."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for node, v in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
+                x = np.frombuffer(v.as_py(), np.uint64)
+                if n := len(x):
+                    size = n - (TIMES * n + OF - 1) // OF + 1
+                    first = x[np.lexsort((x, counts[(x % np.uint64(COUNTS)).astype(np.int64)]))[:size]]
+                    out.append(np.stack([first.view(np.int64), np.full(size, node), np.full(size, n), np.arange(size)]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["s", "node", "n", "at"])
+
+    return sets.select("node", "members").mapInArrow(run, "s long, node long, n long, at long")
+
+
+def _may(n: str, at: str, m: str, to: str) -> Column:
+    """Whether sets of n and m members whose first common one stands at these places can be similar."""
+    n, at, m, to = map(F.col, (n, at, m, to))
+    return (OF * F.least(n, m) >= TIMES * F.greatest(n, m)) & ((TIMES + OF) * F.least(n - at, m - to) >= TIMES * (n + m))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar."""
+    pairs, _ = written(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    met, _ = written(sets.select("node", "members").join(nodes, "node", "left_semi").drop_duplicates(["node"]), "met")
+    sides = pairs.join(met.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(met.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            keep = []
+            for v, w in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (v, w))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append((TIMES + OF) * both >= TIMES * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).take(np.flatnonzero(keep))
+
+    return written(sides.mapInArrow(run, "a long, b long"), "similar")[0]
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """(a, b): similar pairs of nodes that connect whatever similar pairs connect."""
+    own, _ = written(prefixes(sets, counts_of(sets)), "prefixes")
+    holders = own.groupBy("s").agg(F.min(F.struct("node", "n", "at")).alias("h"), F.max("node").alias("last")).where("h.node != last")
+    holders, _ = written(holders.select("s", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.at").alias("to")), "holders")
+    shared, _ = written(own.join(holders, "s").select("s", "node", "n", "at", "b", "m", "to").distinct(), "shared")
+    done = shared.where((F.col("node") != F.col("b")) & _may("n", "at", "m", "to")).select(F.col("node").alias("a"), "b").distinct()
+    first = verified(done, sets)
+    rooted = shared.select("s", "node", "n", "at").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted, _ = written(rooted, "rooted")
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("s")
+    left, _ = written(rooted.join(mixed, "s", "left_semi"), "left")
+    other = left.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("other"))
+    rest = left.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("other")) & _may("n", "at", "m", "to"))
+    return first.union(verified(rest.select("a", "b").distinct(), sets))
+
+
+def group(sets: DataFrame, own: str = "doc_id") -> DataFrame:
+    """``sets`` without members, with component_id: the least ``own`` that is reachable by similar pairs, the row's own included.
+
+    Equal sets are linked, the empty ones too. Rows with a null ``own`` take part but name no component (null where
+    a component has no other); repeated rows come out each; an empty table gives an empty table.
+    """
+    roots = components(links(sets))
+    named = sets.drop("members", "component_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named, _ = written(named, "roots")
+    least, _ = written(named.groupBy("root").agg(F.min(own).alias("component_id")), "least")  # a table, so that the join can split a large group
+    return named.join(least, "root").drop("root", "node")

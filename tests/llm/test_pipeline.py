@@ -27,3 +27,39 @@ def test_stages_keep_what_they_should(spark):
     assert mixed.columns == docs.columns and max(counts.values()) <= 3 and set(counts) <= set(rows)
     out = c.bpe_stage(spark, docs, SF).collect()
     assert len(out) == len(rows) and all(r.decoded_ok and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_near_duplicates_are_exactly_those_of_similarity_08(spark):
+    import random
+
+    from spanveil.llm import jaccard
+
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([40, 120, 200]))) for _ in range(14)]
+    for t in texts[:14]:
+        for cut in (1, 2, 4, 6, 8):
+            w = t.split()
+            for _ in range(cut):
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w) + r.choice(["", " tail"]))
+    texts += [texts[0].upper(), "two words", "two  WORDS", "other words", "", " ", None]
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard.group(jaccard.sets_of(docs)).collect()}
+    want = {i: root(i) for i in range(len(texts))}
+    kept = {x.doc_id for x in c.simhash_stage(spark, docs, SF).collect()}
+    assert kept == set(want.values()) and got == want and 14 < len(kept) < len(texts) - 14
+    assert jaccard.group(jaccard.sets_of(docs.limit(0))).count() == 0
