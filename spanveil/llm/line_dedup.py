@@ -2,8 +2,9 @@
 
 Lines are hashed; a rare line links each document that has it to the first one that does.  Linked pairs are
 aligned with patience diff on line hashes, and aligned common blocks are deleted from the later document.
-A line is rare if at most ``rare`` documents have it or it has ``long_words`` words or more; the first holder
-stands for all, so a line of a third of all documents costs a pair a document.
+A line is rare if at most ``rare`` documents have it or it has ``long_words`` words or more.  Where such a line
+stays, the document is aligned with ever more of its other earlier holders, until it goes or all are tried: what
+is deleted is what alignment with all of them deletes, and a line that goes at once costs a pair a document.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from ..runtime import written
 from .common import word_count
 
+SPANS = "spans array<struct<start:int,end:int>>"
+#: Further holders of a line that a document meets in the second round, about, and the growth of that from round to round; any number deletes the same lines.
+EACH = 16
+
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched positions of a and b, ascending in both: common heads and tails, and in between the longest
@@ -102,26 +107,87 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     whole = marked.where(~F.col("is_first") & (F.aggregate("w", F.lit(0), lambda a, x: a + x) >= min_words))
     whole = whole.select("key", F.array(F.struct(F.lit(0).alias("start"), F.size("h").alias("end"))).alias("spans"))
     kept = marked.where("is_first")
-    lines = kept.select("key", "o", F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("x")).select("key", "o", F.col("x.h").alias("line"), F.col("x.w").alias("words")).where("line != 0")
+    lines = kept.mapInArrow(lambda it: _links(it, min_words), f"o {marked.schema['o'].dataType.simpleString()}, line long, words int")
     holders = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("holder"), F.max("words").alias("words")).where((F.col("n") > 1) & ((F.col("n") <= rare) | (F.col("words") >= long_words)))
-    holders, _ = written(holders.select("line", "holder"), "holders")  # a table, so that the join can split a line that many have
-    pairs = lines.select("key", "o", "line").join(holders, "line").where(F.col("o") != F.col("holder")).select("key", _key("holder").alias("to")).distinct()
-    sides = pairs.join(kept.select("key", "h", "w"), "key").join(kept.select(F.col("key").alias("to"), F.col("h").alias("g")), "to").select("key", "h", "w", "g")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            keys, spans = [], []
-            for k, h, w, g in zip(*(batch.column(c) for c in ("key", "h", "w", "g")), strict=True):
-                if got := blocks(h.as_py(), w.as_py(), g.as_py(), min_words):
-                    keys.append(k.as_py())
-                    spans.append([{"start": a, "end": b} for a, b in got])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, kind)], names=["key", "spans"])
-
-    aligned = sides.mapInArrow(run, "key string, spans array<struct<start:int,end:int>>")
-    return aligned.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")).union(whole)
+    holders, _ = written(holders.select("line", "n", "holder"), "holders")  # a table, so that the join can split a line that many have
+    shared, _ = written(lines.select("o", "line").join(holders, "line"), "shared")
+    later = shared.where(F.col("o") != F.col("holder"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(kept.select("key", "h", "w"), "key").join(kept.select(F.col("key").alias("to"), F.col("h").alias("g")), "to").select("key", "h", "w", "g")
+        return written(sides.mapInArrow(lambda it: _align(it, min_words), f"key string, {SPANS}"), "aligned")[0]
+
+    found = aligned(later.select(_key("o").alias("key"), _key("holder").alias("to")).distinct())
+    todo, low, high = later.where("n > 2"), 0, EACH
+    while True:
+        wanted = todo.groupBy(_key("o").alias("key")).agg(F.collect_list(F.struct("line", "n", "holder")).alias("links"))
+        spans = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        docs_of = wanted.join(kept.select("key", "o", "h", "w"), "key").join(spans, "key", "left")
+        todo, _ = written(docs_of.mapInArrow(lambda it: _still_there(it, min_words), later.schema).where(F.col("n") > low), "open")
+        if todo.isEmpty():
+            break
+        others = shared.select("line", F.col("o").alias("e"))
+        turn = F.pmod(F.xxhash64("e.md5", "line"), F.col("n"))
+        pairs = todo.join(others, "line").where((F.col("e") < F.col("o")) & (F.col("e") != F.col("holder")) & (turn >= low) & (turn < high))
+        found = found.union(aligned(pairs.select(_key("o").alias("key"), _key("e").alias("to")).distinct()))
+        low, high = high, high * EACH
+    return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")).union(whole)
+
+
+def runs(h: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int, int]]:
+    """(link, start, end, words): the lines that link documents."""
+    return [(x, i, i + 1, w) for i, (x, w) in enumerate(zip(h, words, strict=True)) if x]
+
+
+def _links(batches: Iterator, min_words: int) -> Iterator:
+    """Each link of a document once."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, links, words = [], [], []
+        for n, (h, w) in enumerate(zip(batch.column("h"), batch.column("w"), strict=True)):
+            own = {x: m for x, _, _, m in runs(h.as_py(), w.as_py(), min_words)}
+            rows += [n] * len(own)
+            links += own.keys()
+            words += own.values()
+        o = batch.column("o").take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([o, pa.array(links, pa.int64()), pa.array(words, pa.int32())], names=["o", "line", "words"])
+
+
+def _align(batches: Iterator, min_words: int) -> Iterator:
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        keys, spans = [], []
+        for k, h, w, g in zip(*(batch.column(c) for c in ("key", "h", "w", "g")), strict=True):
+            if got := blocks(h.as_py(), w.as_py(), g.as_py(), min_words):
+                keys.append(k.as_py())
+                spans.append([{"start": a, "end": b} for a, b in got])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, kind)], names=["key", "spans"])
+
+
+def _still_there(batches: Iterator, min_words: int) -> Iterator:
+    """Those of a document's links that stand somewhere in it with a line that no span deletes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, out = [], []
+        for n, (h, w, links, spans) in enumerate(zip(*(batch.column(c) for c in ("h", "w", "links", "spans")), strict=True)):
+            gone = [0] * (len(h) + 1)
+            for s in spans.as_py() or []:
+                gone[s["start"]] += 1
+                gone[s["end"]] -= 1
+            stay, deep = [0], 0  # undeleted lines before each
+            for d in gone[:-1]:
+                deep += d
+                stay.append(stay[-1] + (not deep))
+            left = {x for x, i, j, _ in runs(h.as_py(), w.as_py(), min_words) if stay[j] > stay[i]}
+            mine = [x for x in links.as_py() if x["line"] in left]
+            rows += [n] * len(mine)
+            out += mine
+        o, got = batch.column("o").take(pa.array(rows, pa.int64())), pa.array(out, batch.schema.field("links").type.value_type)
+        yield pa.RecordBatch.from_arrays([got.field("line"), o, got.field("n"), got.field("holder")], names=["line", "o", "n", "holder"])
 
 
 def _key(order: str) -> Column:

@@ -226,3 +226,29 @@ def test_quality_ranks_held_out(spark):
     assert all((got[i] >= quality.CUT) == (i % 4 != 0) for i in range(200)) and 0 <= got[500] == got[501] <= 1
     flat = quality.train(docs(spark, rows), labels.limit(0))
     assert {round(x.score, 9) for x in quality.score(docs(spark, rows[:3]), flat).collect()} == {0.3}
+
+
+def all_pair_lines(rows):
+    """Lines that alignment of each document with all earlier ones deletes, by document."""
+    own = {i: t.split("\n") for i, t, _ in rows}
+    h, w = {i: [hash(x) if x else 0 for x in ls] for i, ls in own.items()}, {i: [len(x.split()) for x in ls] for i, ls in own.items()}
+    return {i: {k for j in own if j < i for a, b in line_dedup.blocks(h[i], w[i], h[j], 10) for k in range(a, b)} for i in own}
+
+
+def deleted_lines(spark, rows):
+    got = {r.key: {k for s in r.spans for k in range(s.start, s.end)} for r in line_dedup.find_repeats(docs(spark, rows)).collect()}
+    return {i: got.get(f"{i}:{hashlib.md5(t.encode()).hexdigest()}", set()) for i, t, _ in rows}
+
+
+def test_line_dedup_tries_all_earlier_holders(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "EACH", 2)
+    r = random.Random(6)
+    long = [f"line {i} with a good many words in it so that it counts" for i in range(12)]
+    fresh = lambda i, n: [f"only {i} {k} " + "own " * 12 for k in range(n)]
+    rows = [(1, "\n".join(["p", long[0], "q", long[0], "r"]), "a"), (2, "\n".join(["s", long[0], "t"]), "a"), (3, "\n".join(["u", long[0], "v"]), "a")]
+    for i in range(10, 50):
+        ls = [r.choice(long) for _ in range(r.randrange(1, 6))] + fresh(i, 2)
+        r.shuffle(ls)
+        rows.append((i, "\n".join(ls), "a"))
+    want = all_pair_lines(rows)
+    assert deleted_lines(spark, rows) == want and want[3] == {1} and want[2] == set()
