@@ -1,10 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed; a rare line links each document that has it to the first one that does.  Linked pairs are
-aligned with patience diff on line hashes, and aligned common blocks are deleted from the later document.
-A line is rare if at most ``rare`` documents have it or it has ``long_words`` words or more.  Where such a line
-stays, the document is aligned with ever more of its other earlier holders, until it goes or all are tried: what
-is deleted is what alignment with all of them deletes, and a line that goes at once costs a pair a document.
+Lines are hashed; a run of adjacent lines that together have ``min_words`` words links each document that has it
+to the first one that does.  Linked pairs are aligned with patience diff on line hashes, and aligned common blocks
+are deleted from the later document.  Where a line of such a run stays, the document is aligned with ever more of
+the run's other earlier holders, until it goes or all are tried: what is deleted is what alignment of all pairs
+deletes, however many documents share it, and a run that goes at once costs a pair a document.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from ..runtime import written
 from .common import word_count
 
 SPANS = "spans array<struct<start:int,end:int>>"
-#: Further holders of a line that a document meets in the second round, about, and the growth of that from round to round; any number deletes the same lines.
+#: Of the hashes of runs; runs of equal hashes by chance cost an alignment, no more.
+PRIME, BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
+#: Further holders of a run that a document meets in the second round, about, and the growth of that from round to round; any number deletes the same lines.
 EACH = 16
 
 
@@ -87,7 +89,7 @@ def blocks(a: list[int], words: list[int], b: list[int], min_words: int) -> list
     return out
 
 
-def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rare: int = 50, long_words: int = 10, min_words: int = 10) -> DataFrame:
+def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 10) -> DataFrame:
     """(key, spans): for documents with anything to delete, key = row_key() and the spans (start, end) of lines.
 
     The earlier of two documents has the smaller id (null last), then the smaller md5 of its text.  Rows of equal
@@ -107,10 +109,10 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     whole = marked.where(~F.col("is_first") & (F.aggregate("w", F.lit(0), lambda a, x: a + x) >= min_words))
     whole = whole.select("key", F.array(F.struct(F.lit(0).alias("start"), F.size("h").alias("end"))).alias("spans"))
     kept = marked.where("is_first")
-    lines = kept.mapInArrow(lambda it: _links(it, min_words), f"o {marked.schema['o'].dataType.simpleString()}, line long, words int")
-    holders = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("holder"), F.max("words").alias("words")).where((F.col("n") > 1) & ((F.col("n") <= rare) | (F.col("words") >= long_words)))
-    holders, _ = written(holders.select("line", "n", "holder"), "holders")  # a table, so that the join can split a line that many have
-    shared, _ = written(lines.select("o", "line").join(holders, "line"), "shared")
+    linked = kept.mapInArrow(lambda it: _links(it, min_words), f"o {marked.schema['o'].dataType.simpleString()}, run long")
+    holders = linked.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("holder")).where("n > 1")
+    holders, _ = written(holders, "holders")  # a table, so that the join can split a run that many have
+    shared, _ = written(linked.join(holders, "run"), "shared")
     later = shared.where(F.col("o") != F.col("holder"))
 
     def aligned(pairs: DataFrame) -> DataFrame:
@@ -120,23 +122,53 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = aligned(later.select(_key("o").alias("key"), _key("holder").alias("to")).distinct())
     todo, low, high = later.where("n > 2"), 0, EACH
     while True:
-        wanted = todo.groupBy(_key("o").alias("key")).agg(F.collect_list(F.struct("line", "n", "holder")).alias("links"))
+        wanted = todo.groupBy(_key("o").alias("key")).agg(F.collect_list(F.struct("run", "n", "holder")).alias("links"))
         spans = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         docs_of = wanted.join(kept.select("key", "o", "h", "w"), "key").join(spans, "key", "left")
         todo, _ = written(docs_of.mapInArrow(lambda it: _still_there(it, min_words), later.schema).where(F.col("n") > low), "open")
         if todo.isEmpty():
             break
-        others = shared.select("line", F.col("o").alias("e"))
-        turn = F.pmod(F.xxhash64("e.md5", "line"), F.col("n"))
-        pairs = todo.join(others, "line").where((F.col("e") < F.col("o")) & (F.col("e") != F.col("holder")) & (turn >= low) & (turn < high))
+        others = shared.select("run", F.col("o").alias("e"))
+        turn = F.pmod(F.xxhash64("e.md5", "run"), F.col("n"))
+        pairs = todo.join(others, "run").where((F.col("e") < F.col("o")) & (F.col("e") != F.col("holder")) & (turn >= low) & (turn < high))
         found = found.union(aligned(pairs.select(_key("o").alias("key"), _key("e").alias("to")).distinct()))
         low, high = high, high * EACH
     return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")).union(whole)
 
 
-def runs(h: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int, int]]:
-    """(link, start, end, words): the lines that link documents."""
-    return [(x, i, i + 1, w) for i, (x, w) in enumerate(zip(h, words, strict=True)) if x]
+def runs(h: list[int], words: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """(link, start, end): from each line on, and back from each line, the shortest run of lines with ``min_words`` words.
+
+    Each line of an aligned block of ``min_words`` words is in such a run that lies in the block, so both documents have its link.
+    """
+    sums = [0]  # of a polynomial in the lines' hashes
+    for x in h:
+        sums.append((sums[-1] * BASE + x) % PRIME)
+    power = [1]
+    spans, n = set(), 0
+    j = 0
+    for i in range(len(h)):  # from i on
+        while j < len(h) and n < min_words:
+            n += words[j]
+            j += 1
+        if n < min_words:
+            break
+        spans.add((i, j))
+        n -= words[i]
+    i = len(h)
+    n = 0
+    for j in range(len(h), 0, -1):  # back from j
+        while i and n < min_words:
+            i -= 1
+            n += words[i]
+        if n < min_words:
+            break
+        spans.add((i, j))
+        n -= words[j - 1]
+    for i, j in spans:
+        while len(power) <= j - i:
+            power.append(power[-1] * BASE % PRIME)
+        yield (sums[j] - sums[i] * power[j - i]) % PRIME, i, j
 
 
 def _links(batches: Iterator, min_words: int) -> Iterator:
@@ -144,14 +176,13 @@ def _links(batches: Iterator, min_words: int) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        rows, links, words = [], [], []
+        rows, links = [], []
         for n, (h, w) in enumerate(zip(batch.column("h"), batch.column("w"), strict=True)):
-            own = {x: m for x, _, _, m in runs(h.as_py(), w.as_py(), min_words)}
+            own = {x for x, _, _ in runs(h.as_py(), w.as_py(), min_words)}
             rows += [n] * len(own)
-            links += own.keys()
-            words += own.values()
+            links += own
         o = batch.column("o").take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([o, pa.array(links, pa.int64()), pa.array(words, pa.int32())], names=["o", "line", "words"])
+        yield pa.RecordBatch.from_arrays([o, pa.array(links, pa.int64())], names=["o", "run"])
 
 
 def _align(batches: Iterator, min_words: int) -> Iterator:
@@ -182,12 +213,12 @@ def _still_there(batches: Iterator, min_words: int) -> Iterator:
             for d in gone[:-1]:
                 deep += d
                 stay.append(stay[-1] + (not deep))
-            left = {x for x, i, j, _ in runs(h.as_py(), w.as_py(), min_words) if stay[j] > stay[i]}
-            mine = [x for x in links.as_py() if x["line"] in left]
+            left = {x for x, i, j in runs(h.as_py(), w.as_py(), min_words) if stay[j] > stay[i]}
+            mine = [x for x in links.as_py() if x["run"] in left]
             rows += [n] * len(mine)
             out += mine
         o, got = batch.column("o").take(pa.array(rows, pa.int64())), pa.array(out, batch.schema.field("links").type.value_type)
-        yield pa.RecordBatch.from_arrays([got.field("line"), o, got.field("n"), got.field("holder")], names=["line", "o", "n", "holder"])
+        yield pa.RecordBatch.from_arrays([got.field("run"), o, got.field("n"), got.field("holder")], names=["run", "o", "n", "holder"])
 
 
 def _key(order: str) -> Column:

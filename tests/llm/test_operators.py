@@ -252,3 +252,16 @@ def test_line_dedup_tries_all_earlier_holders(spark, monkeypatch):
         rows.append((i, "\n".join(ls), "a"))
     want = all_pair_lines(rows)
     assert deleted_lines(spark, rows) == want and want[3] == {1} and want[2] == set()
+
+
+def test_line_dedup_of_short_lines_that_many_have(spark):
+    r = random.Random(8)
+    short = [f"short line {i} of a passage that all have" for i in range(8)]
+    rows = [(i, "\n".join([f"head {i}", *short, f"tail {i}"]), "a") for i in range(1, 61)]
+    few = ["", "a", "b c", "d e f", "g h i j", "k l m n o", short[0], "one line with more than ten words in it to link alone"]
+    rows += [(i, "\n".join(r.choice(few) for _ in range(r.randrange(1, 12))), "a") for i in range(100, 180)]
+    want = all_pair_lines(rows)
+    same = {i for i, t, _ in rows if any(t == u and j < i for j, u, _ in rows)}
+    got = deleted_lines(spark, rows)
+    assert all(got[i] == want[i] for i in want if i not in same) and all(got[i] == set(range(1, 9)) for i in range(2, 61))
+    assert any(i not in same and want[i] for i in range(100, 180))
