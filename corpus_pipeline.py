@@ -35,14 +35,15 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The bits of a SimHash tell a similarity of 0.8 from 0.6 only roughly, and any limit on them loses pairs, so the
     links are all pairs whose shingle sets have that Jaccard similarity; every document that goes has such a
-    partner.  Documents with a null id go only where their group has another; of repeated rows of an id one stays.
+    partner.  Rows are told apart by all their columns: of a group stays the least by id (null last), then by md5 of the
+    text (null first), then by a hash of the row; of rows equal in all columns one.
     """
     ensure_importable(spark)
-    sets, _ = written(jaccard.sets_of(docs.select("doc_id", "text")), "shingles")
-    stay = jaccard.group(sets).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))
-    stay = stay.select(key.alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(stay, "__key", "left_semi").drop_duplicates(["__key"]).select(*docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("md5"), F.xxhash64(*docs.columns).alias("row"))
+    sets, _ = written(jaccard.sets_of(docs.select(order.alias("o"), "text")), "shingles")
+    stay = jaccard.group(sets, "o").where(F.col("o").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.to_json("o").alias("__key")).distinct()
+    return docs.withColumn("__key", F.to_json(order)).join(stay, "__key", "left_semi").drop_duplicates(["__key"]).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

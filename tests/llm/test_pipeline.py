@@ -63,3 +63,11 @@ def test_near_duplicates_are_exactly_those_of_similarity_08(spark):
     kept = {x.doc_id for x in c.simhash_stage(spark, docs, SF).collect()}
     assert kept == set(want.values()) and got == want and 14 < len(kept) < len(texts) - 14
     assert jaccard.group(jaccard.sets_of(docs.limit(0))).count() == 0
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a"), "s"), (None, text("b"), "s"), (None, text("b") + " tail", "s"), (None, text("c"), "s"), (5, text("c") + " tail", "s"), (7, text("d"), "s"), (7, text("e"), "s"), (7, text("e"), "s"), (7, text("e"), "t"), (8, text("d"), "s"), (9, None, "s"), (9, "", "s")]
+    got = {tuple(r) for r in c.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), SF).collect()}
+    assert {(None, text("a"), "s"), (5, text("c") + " tail", "s"), (7, text("d"), "s"), (9, None, "s")} < got and len(got) == 6
+    assert len({x for x in got if x[1] and x[1].startswith("b0")}) == 1 and len({x for x in got if x[1] and x[1].startswith("e0")}) == 1
