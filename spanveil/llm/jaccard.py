@@ -40,6 +40,13 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(norm[s:e], 42) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], dtype=np.uint64))
 
 
+def _small(batches: Iterator, rows: int = 256) -> Iterator:
+    """The batches in slices, so that a worker holds the sets of few texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
     """``df`` without its text, with members (binary, the shingles) and node (long, a hash of them: equal sets are one node)."""
 
@@ -47,7 +54,7 @@ def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in _small(batches):
             got = [shingles(v.as_py(), shingle).tobytes() for v in batch.column(text)]
             node = np.array([xxhash.xxh64_intdigest(b, 7) for b in got], np.uint64).view(np.int64)
             yield put(batch.select([n for n in batch.schema.names if n != text]), {"members": pa.array(got, pa.binary()), "node": pa.array(node, pa.int64())})
@@ -80,7 +87,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _small(batches):
             out = []
             for node, v in zip(batch.column("node").to_pylist(), batch.column("members"), strict=True):
                 x = np.frombuffer(v.as_py(), np.uint64)
@@ -108,7 +115,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sides = pairs.join(met.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(met.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in _small(batches):
             keep = []
             for v, w in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (v, w))
