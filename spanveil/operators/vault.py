@@ -1,7 +1,8 @@
 """Scoped reversible mappings as a table (scope, kind, original, token, counter, created_at).
 
 Tokens end in a keyed HMAC, so that a retried task mints the same one; counters run from 1 within (scope, kind) in
-order of first appearance and outlive their mappings.
+order of first appearance; they go on from the largest one in the vault, so they restart where all rows of a
+(scope, kind) have expired or been forgotten.
 """
 
 from __future__ import annotations

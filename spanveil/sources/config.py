@@ -23,8 +23,8 @@ class Settings:
 
 
 CHOICES = {
-    "detector": ("regex", "hybrid", "process"), "judge": ("none", "heuristics", "process"), "policy": ("default", "matrix", "process"),
-    "transformer": ("pseudonymize", "generalize", "mask", "process"), "recipient": ("local", "trusted", "external", "unknown"),
+    "detector": ("regex", "hybrid", "process"), "judge": ("none", "heuristics"), "policy": ("default", "matrix"),
+    "transformer": ("pseudonymize", "generalize", "mask"), "recipient": ("local", "trusted", "external", "unknown"),
     "data_category": ("non_personal", "personal", "special_category"),
 }
 
@@ -47,6 +47,8 @@ def resolve(path: str | None = None, env: dict[str, str] | None = None, **argume
             v = int(v) if "int" in str(known[k].type) and not isinstance(v, int) else v
             if k in CHOICES and v not in CHOICES[k]:
                 raise ValueError(f"{layer}: bad value for {k}")
+            if k == "audit_max_records" and v:
+                raise ValueError(f"{layer}: {k} isn't built")
             setattr(out, k, v)
             origin[k] = layer
     return out, origin

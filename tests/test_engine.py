@@ -148,3 +148,10 @@ def test_settings_layers(tmp_path):
     assert (s.transformer, s.recipient, s.judge, origin["policy"]) == ("mask", "trusted", "heuristics", "default")
     with pytest.raises(ValueError):
         resolve(None, {}, recipient="nobody")
+
+
+@pytest.mark.parametrize("asked", [{"judge": "process"}, {"policy": "process"}, {"transformer": "process"}, {"audit_max_records": 5}])
+def test_settings_that_are_not_built_are_rejected(asked):
+    with pytest.raises(ValueError):
+        resolve(None, {}, **asked)
+    assert resolve(None, {}, detector="process", audit_max_records=0)[0].detector == "process"
