@@ -217,6 +217,39 @@ def test_media_round_trip_and_damage(spark, tmp_path):
     assert len(again) == len(got) and sum(a.error is not None for a in again) == 1 and all((a.media is None) == (a.error is not None) for a in again)
 
 
+def test_media_of_empty_parts_and_unreadable_archives(spark, tmp_path):
+    none, some = f"file://{tmp_path}/none", f"file://{tmp_path}/some"
+    media.write_archives(docs(spark, []), none)
+    assert media.describe(media.read_archives(spark, none)).count() == 0
+    media.write_archives(docs(spark, [(1, "a", "s")]).union(docs(spark, [(2, None, "s"), (3, "b", "s")]).where("doc_id > 5")).repartition(4), some)
+    (tmp_path / "some" / "part-000099.zip").write_bytes(b"no archive")
+    (tmp_path / "some" / "part-000100.zip").write_bytes(b"")
+    got = sorted(media.read_archives(spark, some, attempts="2", rangebytes="4").collect(), key=lambda r: r.archive)
+    assert [(r.key, r.media is None, r.error is None) for r in got] == [("1", False, True), (None, True, False), (None, True, False)]
+    assert [r.n_bytes for r in media.describe(media.read_archives(spark, some, attempts="1")).where("error is not null").collect()] == [None, None]
+
+
+def test_media_forms_read_by_hand(spark, tmp_path):
+    """The stored image, its digest and the feature, against an own reading of the format and a plain loop."""
+    folder = f"file://{tmp_path}/m"
+    media.write_archives(docs(spark, odd_rows()), folder)
+    stored = {(r.archive, r.offset): r.media for r in media.read_archives(spark, folder).collect()}
+    for g in media.describe(media.read_archives(spark, folder)).collect():
+        m = stored[g.archive, g.offset]
+        at, idat, size = 8, b"", None
+        while at < len(m):
+            n = int.from_bytes(m[at : at + 4], "big")
+            kind, body = m[at + 4 : at + 8], m[at + 8 : at + 8 + n]
+            size = (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), body[8], body[9]) if kind == b"IHDR" else size
+            idat, at = idat + body * (kind == b"IDAT"), at + 12 + n
+        lines = zlib.decompress(idat)
+        p = b"".join(lines[i + 1 : i + 577] for i in range(0, len(lines), 577))
+        cuts = [k * len(p) // 64 for k in range(65)]
+        bits = "".join("1" if sum(p[a:b]) * len(p) > (b - a) * sum(p) else "0" for a, b in zip(cuts, cuts[1:], strict=False))
+        assert size == (576, len(p) // 576, 8, 0) and (g.media_bytes, g.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+        assert g.feature == f"{len(p) // 576}:{sum(p) / len(p):.3f}:{int(bits, 2):016x}" and p.rstrip(b"\xff") in {(t or "").encode() for _, t, _ in odd_rows()}
+
+
 def test_quality_ranks_held_out(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("etaoinsr") for _ in range(r.randrange(2, 8)))
