@@ -9,8 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Arrow batches between the JVM and Python workers hold no more than this, so that long texts cost little memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did (a shared or equal path on every node)."""
+    """Lets Python workers import this package from where the driver did (a shared or equal path on every node), and bounds their batches."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
@@ -18,10 +24,12 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a folder of our own only where that is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a folder of our own only where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     own = "file://" + tempfile.mkdtemp(prefix="spanveil-")
     spark.conf.set("spark.checkpoint.dir", own)
     spark.sparkContext.setCheckpointDir(own)
