@@ -1,20 +1,20 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Distinct 64-bit fingerprints are cut into parts of correlated bits.  If part thresholds t_i sum to
-max_bits - parts + 1, two fingerprints within ``max_bits`` differ in at most t_i bits of some part i (t_i = -1
-skips a part).  Each fingerprint allocates its own thresholds by dynamic programming over estimated candidate
-counts (histograms of all fingerprints, taken as independent between halves of a part), probes the part values
-within them, and verifies what it meets.  Crowded part values are dealt out as a grid of blocks.  A task emits a
-link only where it joins two sets that it hasn't joined yet, so dense groups cost a link a member, not a pair.
-
-64 bits tell similar texts from others only roughly.  Where ``more`` words of 64 bits from further hashes go along
-with each fingerprint, a pair that is met within ``max_bits`` is a link only if all bits differ in at most ``all_bits``.
+64-bit fingerprints are cut into parts of correlated bits.  If part thresholds t_i sum to max_bits - parts + 1, two
+fingerprints within ``max_bits`` differ in at most t_i bits of some part i (t_i = -1 skips a part).  Each
+fingerprint allocates its own thresholds by dynamic programming over estimated candidate counts (histograms of all
+fingerprints, taken as independent between halves of a part), probes the part values within them, and verifies
+what it meets.
+
+Two rounds keep dense groups linear.  First each row of a part value meets the few first ones and the least one
+of that value, which joins most of a dense group at a link a member; then all pairs whose ends aren't joined yet.
+A crowded part value's rows are dealt out as a grid of blocks in which those of its largest set never meet each other.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,37 +25,40 @@ from ..runtime import written
 from .common import out_schema, put
 from .components import components
 
-#: Fingerprints with one part value that a block holds at most, about; any number finds the same links.
-BLOCK = 1024
+#: Fingerprints with one part value that a block holds at most, about, and how many of them the others meet in the first round; any numbers find the same links.
+BLOCK, FIRST = 4096, 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned SimHash of the whole text: A-Z lower-cased, words at ASCII white space, XXH64 with seed 42 of shingles. No word: 0."""
-    return words_of_bits(text, shingle)[0]
-
-
-def words_of_bits(text: str | None, shingle: int = 4, more: int = 0) -> list[int]:
-    """fingerprint() and ``more`` further ones, each from the hashes of the one before, mixed."""
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of every shingle, repeats included: A-Z lower-cased, words at ASCII white space; a text of fewer words is one shingle."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * (1 + more)
+        return np.zeros(0, np.uint64)
     norm = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
     ends = (ends - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    k = min(shingle, len(words))
-    h, out = np.array([digest(norm[s:e], 42) for s, e in zip(starts, ends[k - 1 :], strict=False)], dtype=np.uint64), []
-    for i in range(1 + more):
-        if i:
-            h = _mixed(h)
+    return np.array([digest(norm[s:e], 42) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], dtype=np.uint64)
+
+
+def bits_of(h: np.ndarray, words: int = 1) -> list[int]:
+    """``words`` fingerprints of 64 bits: a bit is 1 if over half of the hashes have it; each word takes the hashes of the one before, mixed. No hash: 0."""
+    out = []
+    for i in range(words):
+        h = _mixed(h) if i else h
         ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
     return out
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned SimHash of the whole text. No word: 0."""
+    return bits_of(hashes(text, shingle))[0]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """Another 64 bits of each hash (the SplitMix64 step)."""
     h = h + np.uint64(0x9E3779B97F4A7C15)
@@ -64,18 +67,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, text: str = "text", shingle: int = 4, more: int = 0) -> DataFrame:
-    """``df`` without its text, with fp (long, the 64 bits as signed) and w1, w2 and so on for ``more``. Null texts have no words; columns of these names are replaced."""
-    names = ["fp", *(f"w{i + 1}" for i in range(more))]
+def fingerprints(df: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
+    """``df`` without its text, with fp (long, the 64 bits as signed). Null texts have no words; a column of this name is replaced."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            got = np.array([words_of_bits(v.as_py(), shingle, more) for v in batch.column(text)], np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield put(batch.select([n for n in batch.schema.names if n != text]), {n: pa.array(got[:, i], pa.int64()) for i, n in enumerate(names)})
+            got = np.array([fingerprint(v.as_py(), shingle) for v in batch.column(text)], np.uint64).view(np.int64)
+            yield put(batch.select([n for n in batch.schema.names if n != text]), {"fp": pa.array(got, pa.int64())})
 
-    return df.mapInArrow(run, out_schema(df.drop(text), dict.fromkeys(names, "long")))
+    return df.mapInArrow(run, out_schema(df.drop(text), {"fp": "long"}))
 
 
 class Plan:
@@ -84,6 +86,7 @@ class Plan:
     def __init__(self, max_bits: int, n: int, parts: list[list[int]]):
         self.max_bits, self.n, self.parts = max_bits, n, parts
         self.total = max_bits - len(parts) + 1
+        self.top = min(max(self.total, -1) + len(parts) - 1, max_bits)  # the largest threshold: the other parts are skipped
         self.halves = [[p[: len(p) // 2], p[len(p) // 2 :]] for p in parts]
         self.near: list[list[np.ndarray]] = []
 
@@ -94,14 +97,13 @@ class Plan:
             self.near.append([])
             for j, bits in enumerate(halves):
                 hist, idx, by = counts[i, j] / max(1, self.n), np.arange(1 << len(bits)), []
-                for d in range(self.total + 1 if self.total >= 0 else 1):
+                for d in range(self.top + 1):
                     by.append(sum((hist[idx ^ sum(1 << b for b in c)] for c in combinations(range(len(bits)), d)), np.zeros(len(idx))))
                 self.near[i].append(np.array(by))
 
     def allocate(self, fps: np.ndarray) -> np.ndarray:
         """Thresholds of each fingerprint's parts, by dynamic programming on estimated candidates and probes."""
-        top, m = max(self.total, -1) + len(self.parts) - 1, len(self.parts)
-        top = min(top, self.max_bits)
+        top, m = self.top, len(self.parts)
         best = np.full((len(fps), self.total + m + 1), np.inf)
         best[:, 0] = 0  # over the parts so far, by thresholds' sum plus their number
         picks = []
@@ -230,44 +232,71 @@ class Sets:
         return True
 
 
-def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None, more: int = 0, all_bits: int = 0) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp, no repeats) within ``max_bits`` that connect whatever such links connect.
-
-    With ``more``: columns node, w1 and so on go along, links are between nodes and need ``all_bits`` too; fp may repeat.
-    """
-    plan = plan or make_plan(fps, max_bits)
-    masks = [[np.array([sum(1 << b for b in c) for c in combinations(range(len(p)), d)], np.int64) for d in range(max(plan.total + len(plan.parts), 1))] for p in plan.parts]
-    cols = ["fp", *(["node", *(f"w{i + 1}" for i in range(more))] if more else [])]
-    schema = ", ".join(f"{c} long" for c in ("key", *cols))
+def _keyed(nodes: DataFrame, plan: Plan, probe: bool) -> DataFrame:
+    """``nodes`` (fp first, longs) by part value: key, and the columns; with ``probe`` by all values within the row's thresholds."""
+    names = nodes.columns
+    masks = [[np.array([sum(1 << b for b in c) for c in combinations(range(len(p)), d)], np.int64) for d in range(plan.top + 1)] for p in plan.parts]
 
-    def rows(batches: Iterator, probe: bool) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for big in batches:
-            for at in range(0, len(big), 4096):
-                own = np.stack([c.slice(at, 4096).to_numpy() for c in big.columns])
+            for at in range(0, len(big), 1024):
+                own = np.stack([c.slice(at, 1024).to_numpy() for c in big.columns])
                 x = own[0].view(np.uint64)
                 got = plan.allocate(x) if probe else None
                 for i, bits in enumerate(plan.parts):
                     v = take(x, bits)
-                    for d in range(max_bits + 1 if probe else 1):
+                    for d in range(plan.top + 1 if probe else 1):
                         on = np.flatnonzero(got[:, i] >= d) if probe else np.arange(len(x))
                         if len(on):
                             keys = (v[on][:, None] ^ masks[i][d][None, :] if probe else v[:, None]).ravel()
                             key = keys * len(plan.parts) + i
                             each = np.repeat(own[:, on], len(key) // len(on), axis=1)
-                            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in each)], names=["key", *cols])
-
-    data = fps.select(*cols).mapInArrow(lambda it: rows(it, False), schema)
-    probes = fps.select(*cols).mapInArrow(lambda it: rows(it, True), schema)
-    crowded = data.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
-    block = F.pmod(F.xxhash64(*cols), F.coalesce(F.col("k"), F.lit(1))).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1))
-    data = data.join(crowded, "key", "left").select("key", block.alias("d"), every.alias("p"), F.lit(0).alias("kind"), *cols)
-    probes = probes.join(crowded, "key", "left").select("key", every.alias("d"), block.alias("p"), F.lit(1).alias("kind"), *cols)
-    dealt = data.union(probes).repartition("key", "d", "p").sortWithinPartitions("key", "d", "p", "kind")
-
-    def meet(batches: Iterator) -> Iterator:
+                            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in each)], names=["key", *names])
+
+    return nodes.mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *names)))
+
+
+def _first(dealt: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): for each row of key, d, fp, node, with the key's least as least_fp and least_node, the nearest of the least and the FIRST ones before it, if within ``max_bits``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, d, fp, node, least, least_node = (c.to_numpy() for c in batch.columns)
+            fp, least, a, b = fp.view(np.uint64), least.view(np.uint64), [], []
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (d[1:] != d[:-1])) + 1  # a run that the batches cut has more first ones, which does no harm
+            begin, end = np.append(0, cuts), np.append(cuts, len(key))
+            more = end - begin > 1
+            near = np.bitwise_count(fp ^ least) <= max_bits
+            a.append(node[near])
+            b.append(least_node[near])
+            for s, e in zip(begin[more].tolist(), end[more].tolist(), strict=True):
+                x = fp[s:e]
+                far = np.bitwise_count(x[:, None] ^ x[None, :FIRST]).astype(np.int16)
+                far[np.arange(len(x))[:, None] <= np.arange(far.shape[1])[None, :]] = 99
+                j = far.argmin(1)
+                on = np.flatnonzero(far[np.arange(len(x)), j] <= max_bits)
+                a.append(node[s:e][on])
+                b.append(node[s:e][j[on]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            on = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[on], pa.int64()), pa.array(b[on], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _meet(dealt: DataFrame, max_bits: int, every: bool) -> DataFrame:
+    """(a, b): pairs within ``max_bits`` of different roots, of rows with kind 0 and 1 and equal key, d, p, in that order.
+
+    Unless ``every``, a task leaves out pairs whose ends its earlier pairs connect.
+    """
+
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         sets, at, held = Sets(), None, []
@@ -275,13 +304,12 @@ def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None, more: int
             if not len(batch):
                 continue
             key, d, p, kind, *own_cols = (c.to_numpy() for c in batch.columns)
-            whole = np.stack(own_cols)
-            ids = whole[1] if more else whole[0]
+            whole = np.stack(own_cols)  # fp, node, root
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])) + 1
-            found: list[tuple[int, int]] = []
             begin, end = np.append(0, cuts), np.append(cuts, len(key))
-            worth = (np.minimum.reduceat(kind, begin) == 0) & (np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin))
+            worth = (np.minimum.reduceat(kind, begin) == 0) & (np.minimum.reduceat(whole[2], begin) != np.maximum.reduceat(whole[2], begin))
             worth[[0, -1]] = True  # a run may go on in the next batch
+            found: list[np.ndarray] = []
             for a, b in zip(begin[worth].tolist(), end[worth].tolist(), strict=True):
                 if at != (here := (key[a], d[a], p[a])):
                     at, held = here, []
@@ -291,42 +319,78 @@ def links(fps: DataFrame, max_bits: int = 4, plan: Plan | None = None, more: int
                 if k == b or not held:
                     continue
                 held = [np.concatenate(held, axis=1)]
-                own = held[0].view(np.uint64)
+                own = held[0]
                 for s in range(k, b, 256):
-                    q = whole[:, s : min(s + 256, b)].view(np.uint64)
-                    i, j = np.nonzero(np.bitwise_count(q[0][:, None] ^ own[0][None, :]) <= max_bits)
-                    if more:
-                        far = sum(np.bitwise_count(q[r][i] ^ own[r][j]).astype(np.int64) for r in (0, *range(2, 2 + more)))
-                        i, j = i[far <= all_bits], j[far <= all_bits]
-                    x, y = q[min(more, 1)][i].view(np.int64), own[min(more, 1)][j].view(np.int64)
+                    q = whole[:, s : min(s + 256, b)]
+                    i, j = np.nonzero((np.bitwise_count(q[0].view(np.uint64)[:, None] ^ own[0].view(np.uint64)[None, :]) <= max_bits) & (q[2][:, None] != own[2][None, :]))
+                    if not len(i):
+                        continue
+                    if every:
+                        found.append(np.stack([np.maximum(q[1][i], own[1][j]), np.minimum(q[1][i], own[1][j])]))
+                        continue
+                    x, y = q[2][i], own[2][j]
                     if len(x) > 4096:  # a dense group: most of these are joined already
                         seen, back = np.unique(np.concatenate([x, y]), return_inverse=True)
                         root = np.array([sets.root(v) for v in seen.tolist()])[back]
-                        new = root[: len(x)] != root[len(x) :]
+                        new = np.flatnonzero(root[: len(x)] != root[len(x) :])
                         x, y = x[new], y[new]
-                    for u, v in zip(x.tolist(), y.tolist(), strict=True):
-                        if u != v and sets.join(u, v):
-                            found.append((u, v))
+                    new = [(u, v) for u, v in zip(x.tolist(), y.tolist(), strict=True) if sets.join(u, v)]
+                    if new:
+                        found.append(np.array(new, np.int64).T)
             if found:
-                x, y = zip(*found, strict=True)
+                x, y = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(meet, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
+
 
+def links(nodes: DataFrame, max_bits: int = 4, plan: Plan | None = None, accept: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes (columns fp, node: longs, no repeated node) that connect whatever all links connect.
 
-def group(df: DataFrame, *, doc_id: str = "doc_id", max_bits: int = 4, more: int = 0, all_bits: int = 0) -> DataFrame:
+    A link is a pair within ``max_bits``; with ``accept``, one of those that it returns of the pairs (a, b) it is given.
+    ``known`` links go into the result, and what they connect isn't compared again.
+    """
+    plan = plan or make_plan(nodes, max_bits)
+    nodes = nodes.select("fp", "node")
+    data = _keyed(nodes, plan, False)
+    size = F.ceil(F.col("n") / BLOCK).cast("int")
+    least = data.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("least")).where("n > 1")
+    least, _ = written(least.select("key", size.alias("k"), F.col("least.fp").alias("least_fp"), F.col("least.node").alias("least_node")), "part-values")
+    dealt = data.join(least, "key").select("key", F.pmod(F.xxhash64("node"), "k").cast("int").alias("d"), "fp", "node", "least_fp", "least_node")
+    first = _first(dealt.repartition("key", "d").sortWithinPartitions("key", "d", "node"), max_bits).distinct()
+    if known is not None:
+        was = components(known)
+        ends = first.join(was.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(was.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+        first = ends.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    first, _ = written(accept(first) if accept else first, "first-links")
+    first = first if known is None else first.union(known)
+    rooted = nodes.join(components(first), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
+    rooted, _ = written(rooted, "rooted")
+
+    data, probes = _keyed(rooted, plan, False), _keyed(rooted, plan, True)
+    crowded = data.join(least.where("k > 1").select("key"), "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    crowded = crowded.groupBy("key").agg(F.max(F.struct("n", "root")).alias("lead"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    crowded, _ = written(crowded.select("key", F.col("lead.root").alias("lead"), blocks(F.col("lead.n")).alias("own"), blocks(F.col("n") - F.col("lead.n")).alias("rest")), "crowded")
+    # blocks of the rows that aren't of the key's largest set, then blocks of that set; elsewhere one block
+    leads, own, rest = F.coalesce(F.col("root") == F.col("lead"), F.lit(False)), F.coalesce("own", F.lit(0)), F.coalesce("rest", F.lit(1))
+    block = F.when(leads, rest + F.pmod(F.xxhash64("node"), own)).otherwise(F.pmod(F.xxhash64("node"), rest)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(leads, rest).otherwise(rest + own) - 1))
+    to = lambda rows, d, p, kind: rows.join(crowded, "key", "left").select("key", d.alias("d"), p.alias("p"), F.lit(kind).alias("kind"), "fp", "node", "root")
+    dealt = to(data, block, others, 0).union(to(probes, others, block, 1)).repartition("key", "d", "p").sortWithinPartitions("key", "d", "p", "kind")
+    met = _meet(dealt, max_bits, accept is not None)
+    return first.union(accept(met.distinct()) if accept else met)
+
+
+def group(df: DataFrame, *, doc_id: str = "doc_id", max_bits: int = 4) -> DataFrame:
     """``df`` (with fp) and component_id: the smallest doc_id reachable by fingerprints within ``max_bits``, the row's own included.
 
-    With ``more``: by pairs that are within ``all_bits`` in fp, w1 and so on together, too.  Rows whose fingerprints
-    are equal in all words are linked.  Rows with a null id take part but name no component (null where a component
-    has no other); repeated rows come out each; an empty table gives an empty table.
+    Rows with a null id take part but name no component (null where a component has no other); repeated rows come
+    out each; an empty table gives an empty table.
     """
-    words = ["fp", *(f"w{i + 1}" for i in range(more))]
-    own = df.groupBy(*words).agg(F.min(doc_id).alias("__least"))
-    own = own.withColumn("node", F.xxhash64(*words) if more else F.col("fp"))
-    nodes, _ = written(own, "fingerprints")
-    roots = components(links(nodes, max_bits, more=more, all_bits=all_bits))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes, _ = written(df.groupBy("fp").agg(F.min(doc_id).alias("__least")), "fingerprints")
+    roots = components(links(nodes.withColumn("node", F.col("fp")), max_bits))
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least, _ = written(named.groupBy("root").agg(F.min("__least").alias("component_id")), "roots")  # a table, so that the join can split a large group
-    named = named.join(least, "root").select(*words, "component_id")
-    return df.drop("component_id").join(named, words)
+    named = named.join(least, "root").select("fp", "component_id")
+    return df.drop("component_id").join(named, "fp")

@@ -108,34 +108,47 @@ def test_simhash_components_equal_brute_force(spark):
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0 and simhash.fingerprint("A b\tc d") == __import__("xxhash").xxh64_intdigest("a b c d", 42)
 
 
-def test_simhash_with_more_words_equals_brute_force(spark):
-    r = random.Random(11)
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(r.choice(words) for _ in range(150)) for _ in range(12)]
-    for t in texts[:12]:
-        for cut in (3, 8, 20):
-            w = t.split()
-            for _ in range(cut):
-                w[r.randrange(len(w))] = r.choice(words)
-            texts.append(" ".join(w))
-    texts += [texts[0].upper(), "", None]
-    bits = [simhash.words_of_bits(t, 5, 2) for t in texts]
-    up = list(range(len(texts)))
+def test_simhash_bits_are_majorities():
+    """Texts of several shingles, repeats included, against a count of every bit by itself."""
+    x = __import__("xxhash")
+    for text in ("a b c d e f", "The the THE the the the a b", "one  two\tthree four\nfive one two three four", "é ß É x y z 😀 w", "few words"):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+        h = [x.xxh64_intdigest(" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))]
+        assert simhash.fingerprint(text) == sum((2 * sum(v >> b & 1 for v in h) > len(h)) << b for b in range(64))
+
+
+def test_simhash_crowded_part_values(spark, monkeypatch):
+    """Grids of blocks: one dense group, and many that share part values with it, in blocks of 8."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "FIRST", 2)
+    r = np.random.default_rng(3)
+    few = lambda bits, n: sum(1 << int(b) for b in r.choice(bits, n, replace=False))
+    fps = sorted({few(14, r.integers(0, 4)) for _ in range(90)} | {few(14, r.integers(0, 3)) | (few(20, 7) << 40) for _ in range(90)} | {int(v) for v in r.integers(0, 1 << 63, 60)})
+    up = list(range(len(fps)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i in range(len(texts)):
+    for i in range(len(fps)):
         for j in range(i):
-            each = [(x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True)]
-            if each[0] <= 12 and sum(each) <= 36:
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
-    df = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=5, more=2)
-    got = {x.doc_id: x.component_id for x in simhash.group(df, max_bits=12, more=2, all_bits=36).collect()}
-    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) < len(texts) - 12
+    rows = [(i, f) for i, f in enumerate(fps)] + [(None, fps[0]), (0, fps[0])]
+    got = simhash.group(spark.createDataFrame(rows, "doc_id long, fp long").repartition(3), max_bits=3).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got if x.doc_id is not None) == sorted([(i, root(i)) for i in range(len(fps))] + [(0, root(0))])
+    assert [x.component_id for x in got if x.doc_id is None] == [root(0)]
+    assert {x.component_id for x in simhash.group(spark.createDataFrame([(None, 5), (None, 5)], "doc_id long, fp long")).collect()} == {None}
+
+
+def test_simhash_estimates_all_thresholds():
+    """A uniform table has no reason to skip a part: equal thresholds are the cheapest."""
+    r = np.random.default_rng(4)
+    plan = simhash.Plan(4, 50_000, [list(range(k, 64, 5)) for k in range(5)])
+    plan.learn({(i, j): np.full(1 << len(b), 50_000 / (1 << len(b))) for i, h in enumerate(plan.halves) for j, b in enumerate(h)})
+    assert (plan.allocate(r.integers(0, 1 << 63, 100, dtype=np.uint64)) == 0).all()
 
 
 def test_components_of_a_path(spark):

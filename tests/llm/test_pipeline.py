@@ -32,7 +32,7 @@ def test_stages_keep_what_they_should(spark):
 def test_near_duplicates_are_exactly_those_of_similarity_08(spark):
     import random
 
-    from spanveil.llm import jaccard
+    from spanveil.llm import near
 
     r = random.Random(17)
     words = [f"w{i}" for i in range(900)]
@@ -44,7 +44,7 @@ def test_near_duplicates_are_exactly_those_of_similarity_08(spark):
                 w[r.randrange(len(w))] = r.choice(words)
             texts.append(" ".join(w) + r.choice(["", " tail"]))
     texts += [texts[0].upper(), "two words", "two  WORDS", "other words", "", " ", None]
-    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    sets = [set(near.shingles(t).tolist()) for t in texts]
     up = list(range(len(texts)))
 
     def root(x):
@@ -58,11 +58,11 @@ def test_near_duplicates_are_exactly_those_of_similarity_08(spark):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in jaccard.group(jaccard.sets_of(docs)).collect()}
+    got = {x.doc_id: x.component_id for x in near.group(near.sets_of(docs)).collect()}
     want = {i: root(i) for i in range(len(texts))}
     kept = {x.doc_id for x in c.simhash_stage(spark, docs, SF).collect()}
     assert kept == set(want.values()) and got == want and 14 < len(kept) < len(texts) - 14
-    assert jaccard.group(jaccard.sets_of(docs.limit(0))).count() == 0
+    assert near.group(near.sets_of(docs.limit(0))).count() == 0
 
 
 def test_null_and_repeated_ids_are_rows_of_their_own(spark):
