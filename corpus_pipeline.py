@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import bpe, jaccard, line_dedup, mix, quality
+from spanveil.llm import bpe, line_dedup, mix, near, quality
 from spanveil.llm.common import table
 from spanveil.runtime import ensure_importable, written
 
@@ -33,15 +33,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the least id.
 
-    The bits of a SimHash tell a similarity of 0.8 from 0.6 only roughly, and any limit on them loses pairs, so the
-    links are all pairs whose shingle sets have that Jaccard similarity; every document that goes has such a
-    partner.  Rows are told apart by all their columns: of a group stays the least by id (null last), then by md5 of the
+    Fingerprints are searched by the generalised pigeonhole, and a pair that it finds is a link only if the exact Jaccard
+    similarity of the two shingle sets is 0.8 or more, so every document that goes has a partner of that similarity.
+    Rows are told apart by all their columns: of a group stays the least by id (null last), then by md5 of the
     text (null first), then by a hash of the row; of rows equal in all columns one.
     """
     ensure_importable(spark)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("md5"), F.xxhash64(*docs.columns).alias("row"))
-    sets, _ = written(jaccard.sets_of(docs.select(order.alias("o"), "text")), "shingles")
-    stay = jaccard.group(sets, "o").where(F.col("o").eqNullSafe(F.col("component_id")))
+    sets, _ = written(near.sets_of(docs.select(order.alias("o"), "text")), "shingles")
+    stay = near.group(sets, "o").where(F.col("o").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.to_json("o").alias("__key")).distinct()
     return docs.withColumn("__key", F.to_json(order)).join(stay, "__key", "left_semi").drop_duplicates(["__key"]).select(*docs.columns)
 
