@@ -11,12 +11,13 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from .common import out_schema, put
+from .common import out_schema, put, release
 
 #: Characters that go to the library at a time; only memory depends on it (a longer text goes alone).
 CHUNK = 400_000
@@ -83,7 +84,7 @@ class Pieces(dict):
     """
 
     #: Chunks that are remembered at most; then all are forgotten, which changes no result.
-    REMEMBER = 600_000
+    REMEMBER = 300_000
     _near = re.compile(r"\s\s|^\s|\s$")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
@@ -110,9 +111,15 @@ class Pieces(dict):
         return keys
 
 
-@cache
-def pieces(path: str, pattern: str) -> Pieces:
-    return Pieces(codec(path, pattern))
+@contextmanager
+def pieces(path: str, pattern: str) -> Iterator[Pieces]:
+    """Chunks that one task remembers; at its end the worker, which goes on to other tasks, gives their memory back."""
+    known = Pieces(codec(path, pattern))
+    try:
+        yield known
+    finally:
+        known.clear()
+        release()
 
 
 def _chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
@@ -138,20 +145,21 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, known = codec(path, pattern), pieces(path, pattern)
+        own = codec(path, pattern)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            ids, spans = [], []
-            for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
-                if cut and not offsets:
-                    ids += [list(chain.from_iterable(known[k][0] for k in keys)) for keys in known.learn(part)]
-                    continue
-                for e in own.encode(part, offsets):
-                    ids.append(e.ids)
-                    if offsets:
-                        spans.append([{"start": a, "end": b} for a, b in e.offsets])
-            cols = {"ids": pa.array(ids, pa.list_(pa.int32()))} | ({"offsets": pa.array(spans, span)} if offsets else {})
-            yield put(batch, cols)
+        with pieces(path, pattern) as known:
+            for batch in batches:
+                ids, spans = [], []
+                for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
+                    if cut and not offsets:
+                        ids += [list(chain.from_iterable(known[k][0] for k in keys)) for keys in known.learn(part)]
+                        continue
+                    for e in own.encode(part, offsets):
+                        ids.append(e.ids)
+                        if offsets:
+                            spans.append([{"start": a, "end": b} for a, b in e.offsets])
+                cols = {"ids": pa.array(ids, pa.list_(pa.int32()))} | ({"offsets": pa.array(spans, span)} if offsets else {})
+                yield put(batch, cols)
 
     return df.mapInArrow(run, out_schema(df, new))
 
@@ -182,17 +190,17 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = pieces(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            rows = []
-            for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
-                for keys in known.learn(part):
-                    got = list(map(known.__getitem__, keys))
-                    rows.append((sum([len(g[0]) for g in got]), sha(" ".join([g[1] for g in got]).encode()), sha(b"".join([g[2] for g in got]))))
-            rest = batch.select([n for n in batch.schema.names if n != text])
-            n, a, b = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield put(rest, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+        with pieces(path, pattern) as known:
+            for batch in batches:
+                rows = []
+                for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
+                    for keys in known.learn(part):
+                        got = list(map(known.__getitem__, keys))
+                        rows.append((sum([len(g[0]) for g in got]), sha(" ".join([g[1] for g in got]).encode()), sha(b"".join([g[2] for g in got]))))
+                rest = batch.select([n for n in batch.schema.names if n != text])
+                n, a, b = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield put(rest, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
     return df.mapInArrow(run, out_schema(df.drop(text), new))
 
@@ -205,10 +213,8 @@ def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text") -
         import numpy as np
         import pyarrow as pa
 
-        known = pieces(path, pattern)
-        for big in batches:
-            for at in range(0, len(big), 1024):
-                batch = big.slice(at, 1024)
+        with pieces(path, pattern) as known:
+            for batch in batches:
                 flat, ends, ok = [], [0], []
                 for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
                     for t, keys in zip(part, known.learn(part), strict=True):

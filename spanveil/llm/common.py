@@ -29,3 +29,14 @@ def out_schema(df: DataFrame, new: dict[str, str]) -> str:
     """The DDL of what put() makes of ``df``."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in new]
     return ", ".join(kept + [f"`{k}` {v}" for k, v in new.items()])
+
+
+def release() -> None:
+    """Gives what a Python worker has freed back to the system, where its C library can; workers outlive tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
