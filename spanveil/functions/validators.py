@@ -21,6 +21,12 @@ def ipv4_valid(v: Column) -> Column:
     return F.when(F.coalesce(v.rlike(r"^[0-9]{1,9}(\.[0-9]{1,9}){3}\z"), F.lit(False)), F.forall(F.split(v, r"\."), lambda p: p.cast("int") <= 255)).otherwise(F.lit(False))
 
 
+def ipv6_valid(v: Column) -> Column:
+    """Of a run of groups and colons: two colons or a dotted tail, and a digit somewhere."""
+    colons = F.length(v) - F.length(F.translate(v, ":", ""))
+    return F.coalesce(((colons >= 2) | F.contains(v, F.lit("."))) & v.rlike("[0-9A-Fa-f]"), F.lit(False))
+
+
 def iban_valid(v: Column) -> Column:
     bare = F.replace(v, F.lit(" "), F.lit(""))
     turned = F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))

@@ -48,7 +48,7 @@ def checksum_ok(e: Column) -> Column:
     v = e["value"]
     return (
         F.when(e["kind"] == "credit_card", V.luhn_valid(v)).when(e["kind"] == "us_bank_routing", V.aba_valid(v))
-        .when(e["kind"] == "ipv4", V.ipv4_valid(v)).when(e["kind"] == "iban", V.iban_valid(v)).otherwise(F.lit(True))
+        .when(e["kind"] == "ipv4", V.ipv4_valid(v)).when(e["kind"] == "iban", V.iban_valid(v)).when(e["kind"] == "ipv6", V.ipv6_valid(v)).otherwise(F.lit(True))
     )
 
 
@@ -71,17 +71,6 @@ def hybrid_merge(primary: Column, secondary: Column) -> Column:
     return F.concat(primary, F.aggregate(secondary, _none(), step))
 
 
-def span_error(e: Column, text: Column) -> Column:
-    """The first reason, as a code, why an entity can't stand in its text; null if none."""
-    raw = F.encode(text, "utf-8")
-    bad_cut = lambda at: F.coalesce(F.hex(F.substr(raw, at + 1, F.lit(1))).rlike("^[89AB]"), F.lit(False))
-    return (
-        F.when(bad_cut(e["start"]) | bad_cut(e["end"]), "boundary").when((e["end"] > F.octet_length(text)) | (e["start"] < 0), "bounds").when(e["start"] >= e["end"], "empty")
-        .when(F.decode(F.substr(raw, e["start"] + 1, e["end"] - e["start"]), "utf-8") != e["value"], "value").when(F.trim(e["kind"]) == "", "kind")
-        .when(F.contains(e["kind"], e["value"]), "kind_has_value").when(~e["confidence"].between(0, 1) | F.isnan(e["confidence"]), "confidence")
-    )
-
-
 def detect(df: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
     """``df`` with an array of entities: matches that pass their checksum, without overlaps. Null text: none."""
     # a column of its own for the candidates, so that they are found once

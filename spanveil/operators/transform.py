@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.validators import PREFIX, REDACTED
+from ..functions.validators import PREFIX, REDACTED, placeholder_kind_valid
 
 
 def masked(v: Column) -> Column:
@@ -14,7 +14,8 @@ def masked(v: Column) -> Column:
 
 
 def generalized(kind: Column) -> Column:
-    return F.concat(F.lit(PREFIX), F.upper(kind), F.lit("__"))
+    """A placeholder of the kind; null for a kind that no placeholder can hold, which makes the row an error."""
+    return F.when(placeholder_kind_valid(kind), F.concat(F.lit(PREFIX), F.upper(kind), F.lit("__")))
 
 
 def replacement(e: Column, how: str, token: Column | None = None) -> Column:
@@ -26,8 +27,3 @@ def rebuild(text: Column, plan: Column, replace) -> Column:
     """``text`` with the spans of ``plan`` (sorted, apart) replaced by replace(entity)."""
     step = lambda acc, e: F.struct(e["cp_end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, e["cp_start"] - acc["at"]), replace(e)).alias("out"))
     return F.aggregate(plan, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-
-
-def leaks(out: Column, plan: Column) -> Column:
-    """Whether the new text still holds a value that was to go."""
-    return F.exists(plan, lambda e: (e["action"] != "keep") & F.contains(out, e["value"]))

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
-from ..operators import audit, detect, judge, policy, quality, sanitize, transform, vault, windows
+from ..operators import audit, detect, judge, policy, quality, sanitize, transform, tree, validate, vault, windows
+from ..operators.model import detect_with_model
+from ..operators.store import VaultStore
+from ..runtime import fresh_path, written
+from ..streaming import requests
 from . import sqltext as S
+from .fixtures import generated
 
 #: A key for the queries only; real ones come from the caller.
 KEY = b"spanveil-demonstration-key-of-32-bytes-or-more"
@@ -103,19 +108,25 @@ def plan_matrix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contexts(e).withColumn("d", d).groupBy("ctx.recipient", "ctx.data_category", "ctx.jurisdiction", "kind", "d.action", "d.reason", F.coalesce("d.matched_rule", F.lit(-1)).alias("matched_rule"), "d.used_default").agg(F.sum("count").alias("n"))
 
 
-@query(S.entities("documents", "doc_id", "text") + f""", named AS (SELECT doc_id, bool_or(contains(lower(text), lower(kind)) OR contains(value, kind)) AS refused FROM ent JOIN documents USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, kind, start, "end", {S.default_action(False, '(' + S.LABEL + ')').replace('recipient', "'external'").replace("'external'_", 'recipient_').replace('data_category', "'personal'").replace('jurisdiction,', 'NULL,')} AS action FROM ent JOIN named USING (doc_id) WHERE NOT refused""".replace("unknown_'external'_blocked", "unknown_recipient_blocked"))
+_PERSONAL = ("(SELECT *, 'external' AS recipient, 'personal' AS data_category, NULL::VARCHAR AS jurisdiction FROM ent)",)
+
+
+@query(S.entities("documents", "doc_id", "text") + f""", named AS (SELECT doc_id, bool_or(contains(lower(text), lower(kind)) OR contains(lower(value), lower(kind))) AS refused FROM ent JOIN documents USING (doc_id) GROUP BY doc_id),
+planned AS (SELECT *, {S.default_action(False, '(' + S.LABEL + ')')} AS action, {S.default_action(True, '(' + S.LABEL + ')')} AS reason FROM {_PERSONAL[0]})
+SELECT d.doc_id, CASE WHEN coalesce(refused, false) THEN 'error' ELSE 'ok' END AS status, CASE WHEN coalesce(refused, false) THEN NULL ELSE kind END AS kind, CASE WHEN coalesce(refused, false) THEN NULL ELSE start END AS start,
+    CASE WHEN coalesce(refused, false) THEN NULL ELSE action END AS action, CASE WHEN coalesce(refused, false) THEN NULL ELSE reason END AS reason
+FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN planned p ON p.doc_id = d.doc_id AND NOT refused""")
 def explain_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans without text or values; a document that itself names a kind found in it is refused."""
-    got = sanitize.plan(docs(spark, sf_dir), judged=True)
-    refused = F.exists("plan", lambda e: F.contains(F.lower("text"), F.lower(e["kind"])) | F.contains(e["value"], e["kind"]))
-    return got.where(~refused).select("doc_id", F.explode("plan").alias("e")).select("doc_id", "e.kind", "e.start", "e.end", "e.action")
+    got = sanitize.explain(docs(spark, sf_dir), judged=True).select("doc_id", "status", F.explode_outer("reasons").alias("e"))
+    return got.select("doc_id", "status", "e.kind", "e.start", "e.action", "e.reason")
 
 
 @query(S.entities("documents", "doc_id", "text") + f" SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id HAVING bool_or(NOT {S.SECRET})")
 def blocked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sanitize.sanitize(docs(spark, sf_dir), context=policy.Context("unknown"))
-    return got.where("status = 'blocked'").select("doc_id", F.size("plan").cast("long").alias("n"))
+    # as rows of an array, since a filter on the status would be moved below the plan and make it twice
+    return got.select("doc_id", F.explode(F.when(F.col("status") == "blocked", F.array(F.size("plan").cast("long")))).alias("n"))
 
 
 def _sanitize(how: str):
@@ -177,6 +188,17 @@ def vault_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.live(_dated(_vaulted(spark, sf_dir)[1]), NOW, TTL).select("scope", "kind", "counter")
 
 
+@query(_ENT_SRC + _VAULT + f""", dated AS (SELECT *, counter % 3 = 0 OR counter * 1200 < {TTL} AS live FROM minted)
+SELECT scope, kind, sha256(original) AS original_sha256, CASE WHEN live THEN counter ELSE max(counter) OVER (PARTITION BY scope, kind) + row_number() OVER (PARTITION BY scope, kind, live ORDER BY first, original) END AS counter FROM dated""")
+def vault_mint_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What expired is minted again, with numbers that no mapping had before."""
+    planned, _ = written(sanitize.plan(docs(spark, sf_dir, "doc_id", "text", "source")), "plans")
+    _, full, counters = sanitize.pseudonymize_all(planned, key=KEY, planned=True)
+    wanted = sanitize.wanted_mappings(planned, doc_id="doc_id", scope="source")
+    again, _ = vault.mint(wanted, vault.live(_dated(full), NOW, TTL), counters, KEY, NOW)
+    return again.select("scope", "kind", F.sha2("original", 256).alias("original_sha256"), "counter")
+
+
 @query(_ENT_SRC + _VAULT + " SELECT scope, kind, count(*) AS n FROM minted WHERE scope <> 'src0' GROUP BY ALL")
 def vault_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.forget(_vaulted(spark, sf_dir)[1], "src0").groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -188,34 +210,179 @@ def audit_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.action_counts(p, "source")
 
 
-@query("SELECT lang AS chain, count(*) AS records, '' AS failure, 0::BIGINT AS at FROM documents WHERE lang <> 'de' GROUP BY lang UNION ALL SELECT lang, count(*), 'hash', 2 FROM documents WHERE lang = 'de' GROUP BY lang")
-def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain a language, one of them with a changed event."""
+_EVENTS = """ev AS MATERIALIZED (SELECT lang AS chain, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS sequence, '{"doc_id":' || doc_id || ',"operation":"sanitize","session":"' || source || '"}' AS event FROM documents)"""
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = docs(spark, sf_dir, "doc_id", "lang", "source").select(F.col("lang").alias("chain"), "doc_id", F.to_json(F.struct("doc_id", F.lit("sanitize").alias("operation"), F.col("source").alias("session")), {"ignoreNullFields": "false"}).alias("event"))
-    log = audit.chain(ev, by="chain", order="doc_id", event="event")
-    log = log.withColumn("event", F.when((F.col("chain") == "de") & (F.col("sequence") == 2), F.lit("{}")).otherwise(F.col("event")))
-    return audit.verify(log, by="chain").select("chain", "records", F.coalesce("failure", F.lit("")).alias("failure"), F.coalesce("at", F.lit(0)).alias("at"))
+    return audit.chain(ev, by="chain", order="doc_id", event="event")
 
 
-@query(f"SELECT DISTINCT source, {_hmac_sql(KEY, 'concat(' + repr('canary') + ', chr(0), source)')} AS token, true AS verified FROM documents")
-def canary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = docs(spark, sf_dir, "source").distinct().withColumn("token", audit.canary(KEY, F.col("source")))
-    return s.select("source", "token", audit.verify_canary(F.concat(F.lit("x "), audit.marker(F.col("token"))), KEY, F.col("source")).alias("verified"))
+@query(f"""WITH RECURSIVE {_EVENTS}, linked AS (SELECT chain, sequence, event, sha256(encode('{audit.GENESIS}') || unhex(lpad(hex(sequence), 16, '0')) || encode(event)) AS record_hash FROM ev WHERE sequence = 1
+    UNION ALL SELECT e.chain, e.sequence, e.event, sha256(encode(l.record_hash) || unhex(lpad(hex(e.sequence), 16, '0')) || encode(e.event)) FROM linked l JOIN ev e ON e.chain = l.chain AND e.sequence = l.sequence + 1)
+SELECT chain, sequence, record_hash FROM linked""")
+def audit_chain_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain a language: every record's hash."""
+    return _chains(spark, sf_dir).select("chain", "sequence", "record_hash")
 
 
-@query(S.entities("documents", "doc_id", "text") + """, p AS (SELECT * FROM ent WHERE kind IN ('email', 'ipv4')), s AS (SELECT * FROM ent WHERE kind NOT IN ('email', 'ipv4'))
-SELECT doc_id, kind, start, "end" FROM p UNION ALL SELECT doc_id, kind, start, "end" FROM s""")
+@query("SELECT lang AS chain, CAST(count(*) - CASE lang WHEN 'fr' THEN 1 ELSE 0 END AS BIGINT) AS records, CASE lang WHEN 'de' THEN 'hash' WHEN 'es' THEN 'linkage' WHEN 'fr' THEN 'sequence' ELSE '' END AS failure, CAST(CASE lang WHEN 'de' THEN 2 WHEN 'es' THEN 3 WHEN 'fr' THEN 3 ELSE 0 END AS BIGINT) AS at FROM documents GROUP BY lang")
+def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain a language: one with a changed event, one with a changed link, one that misses its second record."""
+    at = lambda lang, n: (F.col("chain") == lang) & (F.col("sequence") == n)
+    log = _chains(spark, sf_dir).where(~at("fr", 2))
+    log = log.withColumn("event", F.when(at("de", 2), F.lit("{}")).otherwise(F.col("event"))).withColumn("previous_hash", F.when(at("es", 3), F.lit("0")).otherwise(F.col("previous_hash")))
+    return audit.verify(log, by="chain").select("chain", "records", F.coalesce("failure", F.lit("")).alias("failure"), F.coalesce("at", F.lit(0)).alias("at"))
+
+
+_LOGS = {
+    "fine": ("verified", "n", None, None), "modified": ("failure", None, "record_hash_mismatch", 2), "deleted": ("failure", None, "sequence_gap", 2), "swapped": ("failure", None, "sequence_gap", 2),
+    "relinked": ("failure", None, "previous_hash_mismatch", 2), "cut": ("failure", None, "truncated", 0), "blank": ("failure", None, "truncated", 2), "legacy": ("legacy", "n", None, None),
+    "mixed": ("failure", None, "not_envelope", 2), "fallback": ("failure", None, "not_envelope", 2), "garbage": ("failure", None, "malformed", 2), "version": ("unsupported_version", None, "unsupported_version", 2), "empty": ("empty", "0", None, None),
+}
+
+
+_COUNT = {"n": "-1", "0": "0", None: "NULL"}  # -1: the source's number of records
+_CASES = ", ".join(f"('{k}', '{report}', {_COUNT[n]}::BIGINT, {S.q(why) if why else 'NULL'}, {'NULL' if at is None else at}::BIGINT)" for k, (report, n, why, at) in _LOGS.items())
+
+
+@query(f"SELECT source AS log, c.* REPLACE (CASE records WHEN -1 THEN n ELSE records END AS records) FROM (SELECT source, count(*) AS n FROM documents GROUP BY source), (VALUES {_CASES}) c(tampered, report, records, failure, \"at\")")
+def audit_log_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log file a source, as written and tampered with in every way that verification tells apart."""
+    own = docs(spark, sf_dir, "doc_id", "lang", "source")
+    ev = audit.event("sanitize", outcome=F.lit("ok"), session=F.col("lang"), now=F.col("doc_id"), context=policy.Context().columns())
+    log = audit.chain(own.select("source", "doc_id", ev.alias("event")), by="source", order="doc_id", event="event")
+    one = log.select("source", F.struct("sequence", audit.line().alias("line"), "event").alias("r")).groupBy("source").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    a, bare = F.transform("rs", lambda r: r["line"]), F.transform("rs", lambda r: r["event"])
+    second, tail = F.element_at(a, 2), F.slice(a, 3, F.size(a))
+    put = lambda x: F.concat(F.slice(a, 1, 1), F.array(x), tail)
+    every = {
+        "fine": a, "modified": put(F.replace(second, F.lit('"operation":"sanitize"'), F.lit('"operation":"restore"'))), "deleted": F.concat(F.slice(a, 1, 1), tail), "swapped": F.concat(F.slice(a, 1, 1), F.slice(a, 3, 1), F.slice(a, 2, 1), F.slice(a, 4, F.size(a))),
+        "relinked": put(F.regexp_replace(second, '"previous_hash":"[0-9a-f]*"', '"previous_hash":"00"')), "blank": put(F.lit("")), "legacy": bare, "mixed": F.concat(F.slice(bare, 1, 1), F.slice(a, 2, F.size(a))),
+        "fallback": put(F.element_at(bare, 2)), "garbage": put(F.lit("x")), "version": put(F.replace(second, F.lit('{"v":2'), F.lit('{"v":9'))),
+    }
+    cases = [F.struct(F.lit(k).alias("tampered"), F.concat(F.array_join(v, "\n"), F.lit("\n")).alias("contents")) for k, v in every.items()]
+    cases += [F.struct(F.lit("cut").alias("tampered"), F.array_join(a, "\n").alias("contents")), F.struct(F.lit("empty").alias("tampered"), F.lit("").alias("contents"))]
+    files = one.select("source", F.explode(F.array(*cases)).alias("c")).select(F.concat_ws("|", "source", "c.tampered").alias("name"), "c.contents")
+    got = audit.verify_files(files, by="name", contents="contents")
+    return got.select(F.split_part("name", F.lit("|"), F.lit(1)).alias("log"), F.split_part("name", F.lit("|"), F.lit(2)).alias("tampered"), "report", "records", "failure", "at")
+
+
+@query(f"SELECT DISTINCT source, {_hmac_sql(KEY, 'concat(' + repr('canary') + ', chr(0), source)')} AS token, v.* FROM documents, (VALUES ('fine', true), ('capitals', true), ('none', false), ('other_scope', false), ('bad_first', false), ('cut', false), ('two', true)) v(form, verified)")
+def canary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers as written, and in forms of which only the first marker decides."""
+    s, _ = written(docs(spark, sf_dir, "source").distinct().withColumn("token", audit.canary(KEY, F.col("source"))), "canaries")
+    good = audit.marker(F.col("token"))
+    forms = {
+        "fine": F.concat(F.lit("x "), good), "capitals": audit.marker(F.upper("token")), "none": F.lit("x"), "other_scope": audit.marker(F.reverse("token")), "bad_first": F.concat(audit.marker(F.lit("00")), good),
+        "cut": F.concat(F.lit(audit.BEFORE), F.col("token")), "two": F.concat(good, audit.marker(F.lit("00"))),
+    }
+    each = s.select("source", "token", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("text")) for k, v in forms.items()])).alias("f"))
+    return each.select("source", "token", "f.form", audit.verify_canary(F.col("f.text"), KEY, F.col("source")).alias("verified"))
+
+
+_LAP = """(n.start < k.e AND k.s < n."end")"""
+
+
+@query(S.entities("documents", "doc_id", "text").replace("ent AS MATERIALIZED", f"""ok AS MATERIALIZED (SELECT * FROM cand WHERE {S.CHECKED}), p AS MATERIALIZED (SELECT doc_id, list({{'s': start, 'e': "end"}}) AS l FROM ok WHERE kind = 'credit_card' GROUP BY doc_id),
+sec AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, start) AS q FROM ok WHERE kind <> 'credit_card'),
+fold AS (SELECT DISTINCT doc_id, 0::BIGINT AS q, CAST([] AS STRUCT(s INT, e INT, q BIGINT)[]) AS kept FROM sec
+    UNION ALL SELECT n.doc_id, n.q, CASE WHEN len(list_filter(coalesce(p.l, []), lambda k: {_LAP})) > 0 OR n."end" - n.start <= coalesce(list_max(list_transform(list_filter(g.kept, lambda k: {_LAP}), lambda k: k.e - k.s)), 0) THEN g.kept
+        ELSE list_append(list_filter(g.kept, lambda k: NOT {_LAP}), {{'s': n.start, 'e': n."end", 'q': n.q}}) END FROM fold g JOIN sec n ON n.doc_id = g.doc_id AND n.q = g.q + 1 LEFT JOIN p ON p.doc_id = n.doc_id),
+stay AS (SELECT doc_id, unnest(list_transform(max_by(kept, q), lambda k: k.q)) AS q FROM fold GROUP BY doc_id),
+ent AS MATERIALIZED""") + """ SELECT doc_id, kind, start, "end" FROM ok WHERE kind = 'credit_card' UNION ALL SELECT doc_id, kind, start, "end" FROM sec JOIN stay USING (doc_id, q)""")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = detect.detect(docs(spark, sf_dir))
-    a, b = F.filter("entities", lambda e: e["kind"].isin("email", "ipv4")), F.filter("entities", lambda e: ~e["kind"].isin("email", "ipv4"))
+    """Cards by one detector, every other match, overlaps included, by another."""
+    got = docs(spark, sf_dir).select("doc_id", F.filter(detect.candidates("text"), detect.checksum_ok).alias("c"))
+    a, b = F.filter("c", lambda e: e["kind"] == "credit_card"), F.filter("c", lambda e: e["kind"] != "credit_card")
     return got.select("doc_id", F.explode(detect.hybrid_merge(a, b)).alias("e")).select("doc_id", "e.kind", "e.start", "e.end")
 
 
+_VALUES = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {S.q(text)})" for i, _, _, text in generated()) + ") t(doc_id, text))"
+
+
+@query(S.entities(_VALUES, "doc_id", "text") + ' SELECT doc_id, kind, start, "end", confidence FROM ent')
+def detect_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated values of all 27 kinds between words."""
+    return detect.inspect(spark.createDataFrame([(i, text) for i, _, _, text in generated()], "doc_id int, text string"))
+
+
+_WRONG = """CASE (doc_id + ord) % 8 WHEN 1 THEN 'span_bounds' WHEN 2 THEN 'span_empty' WHEN 3 THEN 'span_value' WHEN 4 THEN 'span_kind' WHEN 5 THEN 'span_kind_has_value' WHEN 6 THEN 'span_confidence' WHEN 7 THEN 'span_bounds' ELSE '' END"""
+
+
+@query(S.entities("documents", "doc_id", "text") + f" SELECT doc_id, start, {_WRONG} AS error FROM ent")
+def span_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities made wrong in seven ways, by document and kind."""
+    got = detect.detect(docs(spark, sf_dir)).select("doc_id", "text", F.explode("entities").alias("e")).withColumn("r", (F.col("doc_id") + F.col("e.ord")) % 8)
+    r = F.col("r")
+    e = F.struct(
+        F.when(r == 4, F.lit(" ")).when(r == 5, F.concat(F.lit("a "), F.col("e.value"))).otherwise(F.col("e.kind")).alias("kind"), F.when(r == 7, F.lit(-1)).otherwise(F.col("e.start")).alias("start"),
+        F.when(r == 1, F.octet_length("text") + 5).when(r == 2, F.col("e.start")).otherwise(F.col("e.end")).alias("end"), F.when(r == 3, F.concat(F.lit("x"), F.col("e.value"))).otherwise(F.col("e.value")).alias("value"),
+        F.when(r == 6, F.lit(1.5)).otherwise(F.col("e.confidence")).alias("confidence"),
+    )
+    return got.select("doc_id", F.col("e.start").alias("start"), F.coalesce(validate.span_error(e, F.col("text")), F.lit("")).alias("error"))
+
+
+@query(S.entities("documents", "doc_id", "text") + f" SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'plan_length' WHEN 2 THEN 'plan_entity' WHEN 3 THEN 'plan_action' WHEN 4 THEN CASE WHEN bool_or({S.SECRET}) THEN 'plan_secret' ELSE '' END ELSE '' END AS plan_error, CASE doc_id % 5 WHEN 1 THEN 'judgment_index' WHEN 2 THEN 'judgment_duplicate' WHEN 3 THEN 'judgment_label' WHEN 4 THEN 'judgment_confidence' ELSE '' END AS judgments_error FROM ent GROUP BY doc_id")
+def plan_and_judgment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans and judgments made wrong in four ways each, by document."""
+    got = sanitize.plan(docs(spark, sf_dir)).select("doc_id", F.col("plan"), F.explode(F.when(F.size("plan") > 0, F.array(F.col("doc_id") % 5))).alias("r"))
+    r, n = F.col("r"), F.size("plan")
+    with_ = lambda e, **new: F.struct(*[new.get(c, e[c]).alias(c) for c in ("kind", "start", "end", "value", "action")])
+    changed = (
+        F.when(r == 1, F.slice(F.transform("plan", lambda e: with_(e)), 2, n)).when(r == 2, F.transform("plan", lambda e: with_(e, end=e["end"] + 1))).when(r == 3, F.transform("plan", lambda e: with_(e, action=F.lit("zap"))))
+        .when(r == 4, F.transform("plan", lambda e: with_(e, action=F.lit("keep")))).otherwise(F.transform("plan", lambda e: with_(e)))
+    )
+    one = lambda i, label="personal", c=0.9: F.struct(i.cast("int").alias("index"), F.lit(label).alias("label"), F.lit(c).alias("confidence"))
+    judged = F.when(r == 1, F.array(one(n))).when(r == 2, F.array(one(F.lit(0)), one(F.lit(0)))).when(r == 3, F.array(one(F.lit(0), "odd"))).when(r == 4, F.array(one(F.lit(0), c=1.5))).otherwise(F.array(one(F.lit(0))))
+    code = lambda c: F.coalesce(c, F.lit(""))
+    return got.select("doc_id", code(validate.plan_error(changed, F.col("plan"))).alias("plan_error"), code(validate.judgments_error(judged, n)).alias("judgments_error"))
+
+
 @query("""SELECT doc_id, i AS window_no, substr(text, i * 896 + 1, 1024) AS piece FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN text = '' THEN 0 ELSE 1 + greatest(0, CAST(ceil((length(text) - 1024) / 896.0) AS BIGINT)) END)) AS i FROM documents)""")
 def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.char_windows(docs(spark, sf_dir), size=1024, overlap=128).select("doc_id", "window_no", "piece")
 
 
+@query("SELECT doc_id, w.start, w.e AS \"end\" FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ ]+')) AS n FROM documents), LATERAL (SELECT CAST(i * 96 AS INT) AS start, CAST(least(n, i * 96 + 128) AS INT) AS e FROM unnest(range(0, CASE WHEN n = 0 THEN 0 ELSE 1 + greatest(0, CAST(ceil((n - 128) / 96.0) AS BIGINT)) END)) r(i)) w")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.regexp_count("text", F.lit("[^ ]+"))
+    return docs(spark, sf_dir).select("doc_id", F.inline(windows.token_windows(n, 128, 32)))
+
+
+def _digits(piece: str) -> list[dict]:
+    """A scorer for the queries: runs of four digits or more, and one span of each piece that is under the threshold."""
+    import re
+
+    raw = piece.encode()
+    return [{"label": " Number Run", "start": m.start(), "end": m.end(), "score": 1.2} for m in re.finditer(rb"[0-9]{4,}", raw)] + [{"label": "low", "start": 0, "end": 1, "score": 0.4}]
+
+
+@query("""SELECT doc_id, 'number_run' AS kind, CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: strlen(x))), 0) AS INT) AS start, m[i] AS value
+FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{4,}') AS m, regexp_split_to_array(text, '[0-9]{4,}') AS g FROM documents WHERE regexp_matches(text, '[0-9]{4,}')))""")
+def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in model over windows of whole texts; spans of several windows once."""
+    got = detect_with_model(docs(spark, sf_dir), _digits, max_tokens=16)
+    return got.select("doc_id", F.explode(detect.resolve_overlaps(F.col("entities"))).alias("e")).select("doc_id", "e.kind", "e.start", "e.value")
+
+
+@query(S.sanitized("documents", "doc_id", "text", S.GENERAL) + f""", hit AS (SELECT doc_id, count(*) AS n, bool_or(NOT {S.SECRET}) AS open FROM ent GROUP BY doc_id),
+calls AS (SELECT d.doc_id, d.doc_id % 8 AS r, done.status AS clean, coalesce(n, 0) AS n, coalesce(open, false) AS open FROM documents d JOIN done ON done.doc_id = d.doc_id LEFT JOIN hit ON hit.doc_id = d.doc_id)
+SELECT CASE WHEN r = 6 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS id, CASE r WHEN 2 THEN 'context.inspect' WHEN 4 THEN 'context.restore' WHEN 5 THEN 'context.zap' WHEN 6 THEN NULL ELSE 'context.sanitize' END AS tool,
+    CASE r WHEN 2 THEN 'ok' WHEN 3 THEN CASE WHEN open THEN 'blocked' ELSE 'ok' END WHEN 4 THEN 'ok' WHEN 5 THEN 'error -32602' WHEN 6 THEN 'error -32700' WHEN 7 THEN 'tool error jurisdiction' ELSE clean END AS status, CASE WHEN r = 2 THEN n ELSE -1 END AS found FROM calls""")
+def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request a document, of every method and of broken forms, answered by the stream's batch operator."""
+    r = F.col("doc_id") % 8
+    tool = F.when(r == 2, "context.inspect").when(r == 4, "context.restore").when(r == 5, "context.zap").otherwise("context.sanitize")
+    plain = lambda c: F.when(r.isin(0, 1, 3, 7), c)
+    args = F.struct(F.col("text"), F.when(r.isin(0, 1, 3, 4, 7), F.col("source")).alias("session"), plain(F.when(r == 3, F.lit("unknown"))).alias("recipient"), F.when(r == 7, F.lit("DEU")).alias("jurisdiction"))
+    call = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").alias("id"), F.lit("tools/call").alias("method"), F.struct(tool.alias("name"), args.alias("arguments")).alias("params")))
+    lines = docs(spark, sf_dir, "doc_id", "text", "source").select(F.when(r == 6, F.concat(F.lit("{"), call)).otherwise(call).alias("value"), "doc_id")
+    calls = requests.parse(lines, tools=requests.TOOLS, order=F.col("doc_id"))
+    got = requests.answer(calls, VaultStore(spark, fresh_path(spark, "vault")), KEY, now=NOW)
+    return got.select("id", "tool", "status", F.when((F.col("tool") == "context.inspect") & (F.col("status") == "ok"), F.json_array_length("text")).otherwise(-1).cast("long").alias("found"))
+
+
 @query(S.entities("documents", "doc_id", "text") + """, truth AS (SELECT doc_id, kind, start, "end" FROM ent WHERE doc_id % 5 <> 0), got AS (SELECT doc_id, kind, start, "end" FROM ent WHERE doc_id % 7 <> 0),
 m AS (SELECT coalesce(t.kind, g.kind) AS kind, t.kind IS NOT NULL AS is_true, g.kind IS NOT NULL AS is_got FROM truth t FULL JOIN got g ON t.doc_id = g.doc_id AND t.kind = g.kind AND t.start = g.start AND t."end" = g."end")
 SELECT kind, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM (SELECT kind, count(*) FILTER (is_true AND is_got) AS tp, count(*) FILTER (NOT is_true) AS fp, count(*) FILTER (NOT is_got) AS fn FROM m GROUP BY ROLLUP (kind))""")
@@ -232,3 +399,37 @@ def conversation_tree_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = sanitize.sanitize(t.select("text").distinct()).select("text", "status", "clean_text")
     got = t.join(clean, "text").groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("status") == "ok").alias("ok"), F.array_sort(F.collect_list(F.struct("turn", "clean_text"))).alias("x"))
     return got.select("conv_id", "parts", "ok", F.sha2(F.array_join(F.transform("x", lambda s: s["clean_text"]), "\n"), 256).alias("text_sha256"))
+
+
+@query(S.sanitized("(SELECT *, conv_id * 100000 + turn AS part_id FROM conversations)", "part_id", "text", S.MASKED) + """ SELECT conv_id, CASE WHEN count(*) = count(*) FILTER (status = 'ok') THEN 'ok' ELSE 'error' END AS status,
+CASE WHEN count(*) = count(*) FILTER (status = 'ok') THEN sha256(string_agg(role || ':' || clean_text, chr(10) ORDER BY turn)) END AS text_sha256 FROM conversations JOIN done ON part_id = conv_id * 100000 + turn GROUP BY conv_id""")
+def egress_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON trees of messages and parts: each distinct string sanitized, keys and roles left as they are."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    part = F.struct("turn", F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("m"))
+    trees = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("x")).select("conv_id", F.to_json(F.struct(F.transform("x", lambda p: p["m"]).alias("messages"))).alias("tree"), F.lit("s").alias("session"))
+    got = tree.sanitize_trees(trees, sanitize.sanitize, key="conv_id")
+    back = F.from_json("tree", "messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")["messages"]
+    return got.select("conv_id", "status", F.sha2(F.array_join(F.transform(back, lambda m: F.concat_ws(":", m["role"], m["content"][0]["text"])), "\n"), 256).alias("text_sha256"))
+
+
+@query(S.entities("documents", "doc_id", "text") + """, truth AS (SELECT doc_id, kind, start, "end" FROM ent WHERE ord % 2 = 0 OR doc_id % 3 = 0)
+SELECT CAST(doc_id AS VARCHAR) AS id, count(*) AS wrong FROM ent WHERE doc_id % 2 = 0 AND NOT (ord % 2 = 0 OR doc_id % 3 = 0) GROUP BY doc_id""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated documents with false or missing spans, against annotations that leave some out."""
+    e, _ = written(detect.detect(docs(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("id"), F.explode("entities").alias("e")).select("id", "e.*"), "found")
+    cases = docs(spark, sf_dir, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("regex"))).otherwise(F.array(F.lit("model"))).alias("gate_modes"))
+    truth = e.where("ord % 2 = 0 or cast(id as long) % 3 = 0")
+    return quality.gate(cases, truth.select("id", "kind", "start", "end"), e.select("id", "kind", "start", "end"), "regex")
+
+
+@query(S.entities("documents", "doc_id", "text") + """, n AS (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id), c AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id)
+SELECT CASE WHEN doc_id % 7 = 1 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS id, CASE doc_id % 7 WHEN 1 THEN 'no_id' WHEN 2 THEN 'id_twice' WHEN 3 THEN 'no_metadata' WHEN 4 THEN 'no_kind' ELSE 'surface' END AS error
+FROM c WHERE doc_id % 7 IN (1, 2, 3) OR (doc_id % 7 IN (4, 5) AND n > 0) GROUP BY ALL""")
+def corpus_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as annotated cases, made wrong in five ways."""
+    r = F.col("doc_id") % 7
+    got, _ = written(detect.detect(docs(spark, sf_dir)), "found")
+    note = lambda e: F.struct(F.when(r == 4, F.lit(" ")).otherwise(e["kind"]).alias("kind"), F.when(r == 5, F.concat(F.lit("x"), e["value"])).otherwise(e["value"]).alias("surface"), e["cp_start"].alias("start_char"), e["cp_end"].alias("end_char"))
+    cases = got.select(F.when(r == 1, F.lit("")).otherwise(F.col("doc_id").cast("string")).alias("id"), F.when(r == 3, F.lit("")).otherwise(F.lit("prose")).alias("category"), "text", F.transform("entities", note).alias("entities"), r.alias("r"))
+    return quality.corpus_errors(cases.union(cases.where("r = 2")).drop("r"))

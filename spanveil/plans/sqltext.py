@@ -27,7 +27,8 @@ LUHN = """(list_sum(list_transform(list_reverse(string_split(translate(value, '
 ABA = "((" + " + ".join(f"CAST(value[{i + 1}] AS INT) * {w}" for i, w in enumerate((3, 7, 1) * 3)) + ") % 10 = 0)"
 IPV4 = "(list_max(list_transform(string_split(value, '.'), lambda p: CAST(p AS INT))) <= 255)"
 IBAN = """(strlen(replace(value, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(replace(value, ' ', '')[5:] || replace(value, ' ', '')[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END), lambda r, d: CASE WHEN d > 9 THEN (r * 100 + d) % 97 ELSE (r * 10 + d) % 97 END, 0) = 1)"""
-CHECKED = f"CASE kind WHEN 'credit_card' THEN {LUHN} WHEN 'us_bank_routing' THEN {ABA} WHEN 'ipv4' THEN {IPV4} WHEN 'iban' THEN {IBAN} ELSE true END"
+IPV6 = "((strlen(value) - strlen(replace(value, ':', '')) >= 2 OR contains(value, '.')) AND regexp_matches(value, '[0-9A-Fa-f]'))"
+CHECKED = f"CASE kind WHEN 'credit_card' THEN {LUHN} WHEN 'us_bank_routing' THEN {ABA} WHEN 'ipv4' THEN {IPV4} WHEN 'iban' THEN {IBAN} WHEN 'ipv6' THEN {IPV6} ELSE true END"
 
 
 def entities(table: str, key: str, text: str, extra: str = "") -> str:

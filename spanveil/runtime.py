@@ -51,3 +51,10 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def paths_below(spark: SparkSession, folder: str) -> list[str]:
+    """The paths in a folder; none if it isn't there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath().toString()) for s in fs.listStatus(target)) if fs.exists(target) else []
