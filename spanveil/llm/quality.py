@@ -8,7 +8,6 @@ to the score ``CUT``; the steepness of the map is fitted to the labels.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,12 +24,18 @@ PAIRS = 60_000
 CUT = 0.3
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_SHOUT = re.compile(r"\S!!(?=\s|$)")
-N_FEATURES = 15 + len(_MARKS)
+#: Classes of bytes whose pairs are counted: controls, line ends, blanks, digits, capitals, small letters, each mark, and bytes of other characters by their two highest bits.
+_CLASS = np.zeros(256, np.uint8)
+for _b in range(256):
+    _c = bytes([_b])
+    _CLASS[_b] = 1 if _c in b"\n\r" else 2 if _c in b" \t" else 3 if _c.isdigit() else 4 if _c.isupper() else 5 if _c.islower() else 8 + _MARKS.index(_c) if _c in _MARKS else 6 if _b >= 0xC0 else 7 if _b >= 0x80 else 0
+_CLASSES = 8 + len(_MARKS)
+N_PLAIN = 12 + len(_MARKS)
+N_FEATURES = N_PLAIN + 64 + 2 * len(_MARKS)
 
 
 def features(text: str | None) -> list[float]:
-    """Language-neutral numbers of the whole text; null counts as empty."""
+    """Language-neutral numbers of the whole text: sizes, shares, repeats, marks and pairs of neighbouring bytes; null counts as empty."""
     text = text or ""
     raw = text.encode()
     words = text.split()
@@ -45,9 +50,12 @@ def features(text: str | None) -> list[float]:
     out = [
         np.log1p(len(words)), np.log1p(len(raw)), np.log1p(len(words)) ** 2 / 10, np.log1p(b / n), upper / max(1, upper + lower), int(count[48:58].sum()) / b, int(count[128:].sum()) / b,
         len(top) / n, most / n, np.sqrt(repeats / n), len(line_top) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
-        np.sqrt(len(_SHOUT.findall(text)) / n), float(len(words) < 20), float(repeats >= 8),
     ]
-    return [float(x) for x in out] + [float(np.sqrt(count[c] / n)) for c in _MARKS]
+    # pairs of neighbouring bytes by class: between the general classes, of a mark with itself, and of a mark with anything
+    kinds = _CLASS[np.frombuffer(raw, np.uint8)].astype(np.int32)
+    pairs = np.bincount(kinds[:-1] * _CLASSES + kinds[1:], minlength=_CLASSES * _CLASSES).reshape(_CLASSES, _CLASSES) if len(raw) > 1 else np.zeros((_CLASSES, _CLASSES))
+    pairs = np.sqrt(np.concatenate([pairs[:8, :8].ravel(), np.diag(pairs)[8:], pairs[8:].sum(1)]) / n)
+    return [float(x) for x in out] + [float(np.sqrt(count[c] / n)) for c in _MARKS] + pairs.tolist()
 
 
 @dataclass(frozen=True)
@@ -94,7 +102,8 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 7, ridge: float = 1e-3) ->
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Ranker:
     """Fits on at most ``rows`` labelled rows whose crc32(id as text) mod 5 isn't 0, chosen by hash of the id.
 
-    Labels other than 0 and 1 and null ids are left out; an id with several labels counts with the smallest.
+    Labels other than 0 and 1 and null ids are left out; an id with several labels counts with the smallest,
+    one with several texts with the one of the least hash.  Without labels of both kinds every score is the same.
     """
     marked = labels.select(F.col(doc_id).alias("i"), F.col(label).alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
     marked = marked.groupBy("i").agg(F.min("y").cast("int").alias("y")).orderBy(F.xxhash64("i"), "i").limit(rows)
@@ -105,9 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
         for batch in batches:
             got = [features(v.as_py()) for v in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(got, pa.list_(pa.float64())), batch.column("h")], names=["y", "x", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array(got, pa.list_(pa.float64())), batch.column("h")], names=["i", "y", "x", "h"])
 
-    got = texts.select("y", "t", F.xxhash64("i", "t").alias("h")).mapInArrow(run, "y int, x array<double>, h long").limit(4 * rows).collect()  # repeated ids bring more rows; 4 times as many at most
+    kind = marked.schema["i"].dataType.simpleString()
+    got = texts.select("i", "y", "t", F.xxhash64("i", "t").alias("h")).mapInArrow(run, f"i {kind}, y int, x array<double>, h long")
+    got = [r["r"] for r in got.groupBy("i").agg(F.min(F.struct("h", "y", "x")).alias("r")).collect()]  # ``rows`` at most
     got.sort(key=lambda r: (r["h"], r["y"]))
     return fit(np.array([r["x"] for r in got], float), np.array([r["y"] for r in got], int))
 

@@ -359,7 +359,7 @@ def _union(batches: Iterator) -> Iterator:
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, keep_bytes: bool = False) -> DataFrame:
-    """``docs`` without its text, with n_bytes, n_removed, n_spans (long), kept_sha256 and, if asked for, kept (binary).
+    """``docs`` without its text, with n_bytes, n_removed, n_spans (long), kept_sha256, kept_bytes (long) and, if asked for, kept (binary).
 
     kept: the bytes that no repeat covers, concatenated (it can split a character).  Texts that occur in several
     rows go wholly if they have ``length`` bytes.  Cases as in find_repeats(); columns of those names are replaced.
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     found = find_repeats(docs, doc_id=doc_id, text=text, length=length).withColumnsRenamed({"md5": "__md5", "spans": "__spans", "copies": "__copies"})
     found, _ = written(found, "found")  # a table, so that the join can split a text that many rows have
     got = docs.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit("")))).join(found, "__md5", "left").drop("__md5")
-    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep_bytes else {})
+    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept_bytes": "long"} | ({"kept": "binary"} if keep_bytes else {})
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -385,7 +385,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept)[: len(new)])
+                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept), kept)[: len(new)])
             cols = list(zip(*rows, strict=True)) or [()] * len(new)
             kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             rest = batch.select([n for n in batch.schema.names if n not in (text, "__spans", "__copies")])

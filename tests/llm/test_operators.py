@@ -263,6 +263,24 @@ def test_media_forms_read_by_hand(spark, tmp_path):
         assert g.feature == f"{len(p) // 576}:{sum(p) / len(p):.3f}:{int(bits, 2):016x}" and p.rstrip(b"\xff") in {(t or "").encode() for _, t, _ in odd_rows()}
 
 
+def test_quality_fit_equals_gradient_descent():
+    """Newton's minimum of the pairwise loss against plain gradient descent on the same pairs."""
+    r = np.random.default_rng(5)
+    x = np.zeros((400, quality.N_FEATURES))
+    x[:, :3] = r.normal(size=(400, 3))
+    good = (x[:, :3] @ [1.0, -2.0, 0.5] + r.normal(size=400) > -0.5).astype(int)
+    got = quality.fit(x, good)
+    z = np.clip((x - got.mean) / got.scale, -6, 6)[:, :3]
+    pick = np.random.default_rng(7)
+    d = z[pick.choice(np.flatnonzero(good == 1), quality.PAIRS)] - z[pick.choice(np.flatnonzero(good == 0), quality.PAIRS)]
+    w = np.zeros(3)
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(d @ w))
+        w += 0.5 * (d.T @ p / len(d) - 1e-3 * w)
+    assert np.allclose(got.weights[:3], w, atol=1e-3) and not got.weights[3:].any()
+    assert abs((got.score(x) < quality.CUT).mean() - (good == 0).mean()) < 0.01
+
+
 def test_quality_ranks_held_out(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("etaoinsr") for _ in range(r.randrange(2, 8)))
@@ -270,6 +288,9 @@ def test_quality_ranks_held_out(spark):
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)] + [(None, 1, 0), (1, None, 0), (1, 7, 0)], "doc_id long, quality int, toxic int")
     got = {x.doc_id: x.score for x in quality.score(docs(spark, rows), quality.train(docs(spark, rows), labels)).collect()}
     assert all((got[i] >= quality.CUT) == (i % 4 != 0) for i in range(200)) and 0 <= got[500] == got[501] <= 1
+    twice = quality.train(docs(spark, rows + rows[:50]), labels.union(labels))
+    assert {x.doc_id: x.score for x in quality.score(docs(spark, rows).withColumn("score", F.lit("clash")), twice).collect()} == got
+    assert quality.score(docs(spark, []), twice).count() == 0 and quality.train(docs(spark, []), labels).weights.any() is np.False_
     flat = quality.train(docs(spark, rows), labels.limit(0))
     assert {round(x.score, 9) for x in quality.score(docs(spark, rows[:3]), flat).collect()} == {0.3}
 
