@@ -3,12 +3,15 @@
 Each source queues its shuffled documents, again and again up to ``max_repeats`` times; a queued document's
 virtual finish time is its source's tokens up to and with it, divided by the source's target.  The queue of all
 sources is cut where its running total reaches the budget.  Sources get hot, so every running total is taken in
-two levels: buckets of the shuffle key within a source, and 4,096 bands of virtual time over all; only the band
-in which the budget ends is sorted row by row.
+two levels: buckets of the shuffle key within a source, and 4,096 bands of virtual time over all; the band in which
+the budget ends is cut into bands again until it is small enough to be sorted row by row.  What that gives is, for each
+source and turn, the last document taken, so the decision about a document needs no shuffle of its text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +19,8 @@ from pyspark.sql.window import Window
 from ..runtime import written
 from .common import word_count
 
-#: Bands of virtual time; any number gives the same mix.
-BANDS = 4096
+#: Bands of virtual time, and items of a band that are sorted at most; any numbers give the same mix.
+BANDS, EDGE = 4096, 65_536
 #: Documents to a bucket of the shuffle key, about; any number gives the same mix.
 BUCKET_ROWS = 512
 
@@ -37,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: int, shar
 
 
 def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, share: float = 1.0, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: its id, size, source_size, target, copies, taken (= copies x size), first_finish, and the columns in ``carry``.
+    """One row per document: its id, size, source_size, target, copies, taken (= copies x size), and the columns in ``carry``.
 
     Size is the number of words (null text: 0).  The budget is ``share`` of all sizes.  Sources rank by code
     point, null last.  A source's documents are taken whole, in the order of md5(seed, id); copies says how often.
@@ -51,55 +54,64 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         F.col(doc_id).alias("id"), word_count(text).alias("size"), F.substring(key, 1, 16).alias("h"),
         F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")).alias("skey"),
         F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("string").alias("carried"),
-    ).withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * buckets / F.lit(float(1 << 24))).cast("int"))
-    # texts are read once for the sizes, and once more only if they are to come along
+    )
+    # texts are read once for the sizes, and once more only if they are to come along; they are never shuffled
     base, _ = written(full.withColumn("carried", F.lit(None).cast("string")), "sizes")
-    per_bucket = base.groupBy("skey", "bucket").agg(F.sum("size").alias("size"))
+    bucket = F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * buckets / F.lit(float(1 << 24))).cast("int")
+    groups = base.groupBy("skey", bucket.alias("bucket"), "h", "id", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.col("n") * F.col("size"))
+    groups, _ = written(groups, "groups")  # rows that repeat an id are one
+    per_bucket = groups.groupBy("skey", "bucket").agg(F.sum("all").alias("size"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     # a row a source: Spark broadcasts it where it is small
-    offsets = offsets.join(targets(per_bucket, weights, max_repeats, share), "skey")
-    within = Window.partitionBy("skey", "bucket").orderBy("h", "id", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def queue(of: DataFrame) -> DataFrame:
-        got = of.withColumn("cum", F.sum("size").over(within)).join(offsets, ["skey", "bucket"])
-        got = got.withColumn("cum", F.col("cum") + F.col("offset"))
-        epochs = F.when(F.col("target") > 0, F.lit(max_repeats)).otherwise(F.lit(1)).cast("int")
-        return got.withColumn("epochs", F.sequence(F.lit(0), epochs - 1))
-
-    def finish(epoch: Column) -> Column:
-        return F.when(F.col("target") > 0, (F.col("cum") + epoch * F.col("source_size")) / F.col("target")).otherwise(F.lit(0.0))
-
-    queued, _ = written(queue(base), "queue")
-    items = queued.withColumn("epoch", F.explode("epochs")).withColumn("vft", finish(F.col("epoch")))
-    band = F.least(F.floor(F.col("vft") * BANDS), F.lit(4 * BANDS * max_repeats)).cast("int")
-    bands = items.groupBy(band.alias("band")).agg(F.sum("size").alias("size"))
-    up_to = Window.orderBy("band")
-    bands = bands.withColumn("upto", F.sum("size").over(up_to))
+    goals, _ = written(targets(per_bucket, weights, max_repeats, share), "targets")
+    within = Window.partitionBy("skey", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    queued = groups.withColumn("cum", F.sum("all").over(within)).join(offsets, ["skey", "bucket"]).withColumn("cum", F.col("cum") + F.col("offset"))
+    queued, _ = written(queued.join(goals.where("target > 0"), "skey").drop("bucket", "offset", "n"), "queue")
+    finish = (F.col("cum") + F.col("epoch") * F.col("source_size")) / F.col("target")
+    items = queued.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).withColumn("vft", finish)
     budget = per_bucket.agg(F.floor(F.sum("size") * F.lit(float(share))).cast("long").alias("b")).first()["b"] or 0
-    hit = bands.where(F.col("upto") > budget).orderBy("band").select("band", (F.col("upto") - F.col("size")).alias("before")).first()
+    last = _cut(items, budget)
+    row = F.struct("h", "id", "size")
+    ends = queued.select("skey").distinct() if last is False else items.where(last).groupBy("skey").agg(*[F.max(F.when(F.col("epoch") == e, row)).alias(f"end{e}") for e in range(max_repeats)])
+    # of each source's queue, the last document taken at each turn
+    goals = goals.join(ends, "skey", "left")
+    turns = F.lit(0) if last is False else sum((F.when(F.coalesce(row <= F.col(f"end{e}"), F.lit(False)), 1).otherwise(0) for e in range(max_repeats)), F.lit(0))
+    copies = F.when(F.col("target") > 0, turns).otherwise(1)
+    new = {doc_id, "size", "source_size", "target", "copies", "taken"}
+    got = (full if carry else base).join(goals, "skey").withColumn("copies", copies)
+    return got.select(F.col("id").alias(doc_id), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *[F.col("carried").getField(c).alias(c) for c in carry if c not in new])
+
+
+def _cut(items: DataFrame, budget: int) -> Column | bool:
+    """Which of the queued items (vft, skey, h, id, size, all) the budget takes, in the order of virtual finish times; False: none.
+
+    The band of virtual time in which the budget ends is cut into BANDS finer ones until it has EDGE items or fewer;
+    only those are sorted one by one.  Items without words don't use the budget, and go with those before them.
+    """
+    top = items.agg(F.max("vft").alias("m")).first()["m"]
+    if top is None:
+        return False
+    low, high, before, here, taken, rows = 0.0, max(1.0, math.nextafter(top, math.inf)), 0, F.lit(True), F.lit(False), None
+    while True:
+        band = F.least(F.floor((F.col("vft") - low) / (high - low) * BANDS), F.lit(BANDS - 1)).cast("int")
+        bands = items.where(here).groupBy(band.alias("band")).agg(F.sum("all").alias("all"), F.count(F.lit(1)).alias("n"), F.min("vft").alias("lo"), F.max("vft").alias("hi"))
+        hit = bands.withColumn("upto", F.sum("all").over(Window.orderBy("band")) + before).where(F.col("upto") > budget).orderBy("band").first()
+        if hit is None:
+            return taken | here  # all
+        before = hit["upto"] - hit["all"]
+        taken = taken | (here & (band < hit["band"]))
+        here = here & (band == hit["band"])
+        if hit["n"] <= EDGE or hit["lo"] == hit["hi"] or hit["n"] == rows:
+            break
+        low, high, rows = hit["lo"], math.nextafter(hit["hi"], math.inf), hit["n"]
     order = ["vft", "skey", "h", "id", "size"]
-    if hit is None:
-        copies = F.size("epochs")
-    else:
-        edge = items.where(band == hit["band"]).withColumn("upto", F.sum("size").over(Window.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)) + hit["before"])
-        last = edge.where(F.col("upto") <= budget).orderBy(*[F.col(c).desc() for c in order]).select(*order).first()
-        kind = dict(edge.dtypes)
-
-        def taken(epoch: Column) -> Column:
-            v = finish(epoch)
-            full = F.floor(v * BANDS) < hit["band"]
-            if last is None:
-                return full
-            row = F.struct(v, *[F.col(c) for c in order[1:]])
-            return full | ((F.floor(v * BANDS) == hit["band"]) & (row <= F.struct(*[F.lit(last[c]).cast(kind[c]) for c in order])))
-
-        copies = F.size(F.filter("epochs", taken))
-    new = {doc_id, "size", "source_size", "target", "copies", "taken", "first_finish"}
-    return (queue(full) if carry else queued).withColumn("copies", copies).select(
-        F.col("id").alias(doc_id), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        finish(F.lit(0)).alias("first_finish"), *[F.col("carried").getField(c).alias(c) for c in carry if c not in new],
-    )
+    edge = items.where(here & (F.col("all") > 0)).withColumn("upto", F.sum("all").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + before)
+    last = edge.where(F.col("upto") <= budget).orderBy(*[F.col(c).desc() for c in order]).select(*order).first()
+    if last is None:
+        return taken
+    kind = dict(items.dtypes)
+    return taken | (here & (F.struct(*[F.col(c) for c in order]) <= F.struct(*[F.lit(last[c]).cast(kind[c]) for c in order])))
 
 
 #: DuckDB for the same mix of ``documents`` with the default parameters.

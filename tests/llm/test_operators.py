@@ -67,6 +67,37 @@ def test_mix_is_near_targets(spark):
     longest = max(r.size for r in got)
     assert all(abs(t - n) <= longest for t, n in by.values()) and abs(sum(t for t, _ in by.values()) - sum(r.size for r in got)) < 1e-3
     assert mix.mix_sources(docs(spark, [])).count() == 0
+    assert {(r.copies, r.taken) for r in mix.mix_sources(docs(spark, [(1, None, "a"), (2, "", None)])).collect()} == {(1, 0)}
+
+
+@pytest.mark.parametrize("bands,edge", [(4096, 65_536), (3, 5)])
+def test_mix_equals_a_sorted_queue(spark, monkeypatch, bands, edge):
+    monkeypatch.setattr(mix, "BANDS", bands)
+    monkeypatch.setattr(mix, "EDGE", edge)
+    rows = [(i, "w " * (i * 7 % 11), "s%d" % min(i % 5, 2)) for i in range(300)] + odd_rows() + [(7, "w " * 5, "s0")] * 3
+    got = mix.mix_sources(docs(spark, rows).repartition(3)).collect()
+    words = lambda t: len([w for w in __import__("re").split("[\x20\x09-\x0d]+", t or "") if w])
+    h = lambda i: hashlib.md5(("mix" + ("" if i is None else str(i))).encode()).hexdigest()[:16]
+    target = {r.source_size: r.target for r in got}
+    queue, sizes = [], {}
+    for key in {(s is None, s) for _, _, s in rows}:
+        own = sorted({(h(i), i is not None, i or 0, words(t)) for i, t, s in rows if (s is None, s) == key})
+        many = {g: sum((h(i), i is not None, i or 0, words(t)) == g for i, t, s in rows if (s is None, s) == key) for g in own}
+        total = sum(g[3] * many[g] for g in own)
+        cum = 0
+        for g in own:
+            cum += g[3] * many[g]
+            sizes[key, g] = 0
+            if total:
+                queue += [(float(cum + e * total) / target[total], key[0], key[1] or "", g, many[g] * g[3], key) for e in range(3)]
+    left = sum(words(t) for _, t, _ in rows)
+    for *_, g, n, key in sorted(queue):
+        left -= n
+        if left < 0:
+            break
+        sizes[key, g] += g[3]
+    want = sorted((i is not None, i or 0, words(t), sizes[(s is None, s), (h(i), i is not None, i or 0, words(t))]) for i, t, s in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.size, r.taken) for r in got) == want
 
 
 def test_chats_read_back(spark):
