@@ -363,3 +363,37 @@ def test_line_dedup_of_short_lines_that_many_have(spark):
     got = deleted_lines(spark, rows)
     assert all(got[i] == want[i] for i in want if i not in same) and all(got[i] == set(range(1, 9)) for i in range(2, 61))
     assert any(i not in same and want[i] for i in range(100, 180))
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    block = "\n".join(f"shared line {i} that has quite a few words in it" for i in range(3))
+    rows = [(None, f"a\n{block}", "s"), (None, f"b\n{block}", "s"), (4, f"c\n{block}\nd", "s"), (4, f"c\n{block}\nd", "s"), (4, f"e\n{block}", "s"), (9, None, "s"), (None, None, "s")]
+    df = docs(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("spans", F.lit("clash"))
+    got = sorted((r.doc_id or 99, r.text or "", r.n_removed) for r in line_dedup.delete_repeats(df).collect())
+    # of the two texts of id 4 the one with the smaller md5 is the earlier
+    first, other = sorted((f"c\n{block}\nd", f"e\n{block}"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    cut = lambda t: t.replace(block + "\n", "").replace("\n" + block, "")
+    texts = [first if t == first else cut(t) for t in (rows[2][1], rows[3][1], rows[4][1])]
+    assert got == sorted([(4, t, 0 if t == first else 3) for t in texts] + [(9, "", 0), (99, "", 0), (99, "a", 3), (99, "b", 3)]) and other
+
+
+def test_embeddings_of_null_ids_repeats_and_nothing(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.001]), (5, [0.0, 1.0]), (5, [0.0, 1.0]), (6, [0.0, 2.0]), (None, [-1.0, 0.0]), (None, None), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("kept", F.lit("clash")).withColumn("size", F.lit(1))
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embed_dedup.link_vectors(df).collect()))
+    assert got == sorted([(0, 1, 0, False)] * 2 + [(5, 2, 5, True)] * 2 + [(6, 2, 5, False), (0, 0, 0, False), (0, 0, 0, False), (7, 0, 7, True)])
+    assert embed_dedup.link_vectors(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_of_null_ids_and_clashing_names(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(150))
+    rows = [(None, "p" + text, "s"), (None, text + "q", "s"), (1, "r" + text, "s"), (None, None, "s")]
+    df = docs(spark, rows).withColumn("n_bytes", F.lit("clash")).withColumn("md5", F.lit("clash")).withColumn("spans", F.lit("clash"))
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_bytes) for r in suffix_dedup.remove_repeats(df, length=100).collect())
+    assert got == [(0, 0, 0, 0, 0), (0, 151, 150, 1, 1), (0, 151, 150, 1, 1), (1, 151, 150, 1, 1)]
+
+
+def test_token_counts_of_nothing_and_clashes(spark):
+    assert token_counts.count_tokens(docs(spark, []), RANKS).count() == 0
+    got = token_counts.count_tokens(docs(spark, [(None, None, "s"), (1, "a", "s"), (1, "a", "s")]).withColumn("n_tokens", F.lit("clash")), RANKS).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_words, r.n_tokens) for r in got) == [(0, 0, 0, 0), (1, 1, 1, 1), (1, 1, 1, 1)]

@@ -71,3 +71,15 @@ def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     got = {tuple(r) for r in c.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), SF).collect()}
     assert {(None, text("a"), "s"), (5, text("c") + " tail", "s"), (7, text("d"), "s"), (9, None, "s")} < got and len(got) == 6
     assert len({x for x in got if x[1] and x[1].startswith("b0")}) == 1 and len({x for x in got if x[1] and x[1].startswith("e0")}) == 1
+
+
+def test_stages_of_nulls_and_of_nothing(spark):
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (1, "", "en", None, 0), (2, "word " * 300, "en", "a", 1500), (2, "word " * 300, "en", "a", 1500), (3, " \n\t", None, "b", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    full = spark.createDataFrame(rows, schema).withColumn("score", F.lit("clash")).withColumn("copies", F.lit("clash")).withColumn("h", F.lit("clash"))
+    for name, stage in c.STAGES:
+        for docs in (full, full.limit(0)):
+            got = stage(spark, docs, SF)
+            assert name == "bpe" or got.columns == docs.columns
+            assert got.count() <= (3 if name == "mix" else 1) * docs.count()
+    assert c.simhash_stage(spark, full, SF).count() == 2 and c.line_dedup_stage(spark, full, SF).count() == 6
