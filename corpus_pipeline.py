@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from spanveil.llm import bpe, line_dedup, mix, near, quality
 from spanveil.llm.common import table
-from spanveil.runtime import ensure_importable, written
+from spanveil.runtime import drop_written, ensure_importable, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more; the classifier learns from the labels that aren't held out."""
+    """Documents with a quality score of 0.3 or more; the classifier learns from the labels that aren't held out.
+
+    Null texts count as empty ones; repeated rows share a fate; an empty table gives an empty table.
+    """
     ensure_importable(spark)
     ranker = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, ranker).where(F.col("score") >= quality.CUT).select(*docs.columns)
@@ -47,13 +50,17 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to weights 5, 2, 1: a document comes as often as the mix takes it, up to 3 times."""
+    """Sources to weights 5, 2, 1: a document comes as often as the mix takes it, up to 3 times.
+
+    A null source is the last one; documents without words come with those before them in their queue, once if
+    their source has no words at all; repeated rows share a fate; an empty table gives an empty table.
+    """
     mixed = mix.mix_sources(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each text, and decoded_ok: whether the ids decode to it."""
+    """doc_id, source, n_tokens and ids of each text, and decoded_ok: whether the ids decode to it. Null and empty texts have no ids; rows that repeat come out each."""
     import public_tokenizers as p
 
     ensure_importable(spark)
@@ -73,7 +80,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each on the written table of the one before; other tables go as soon as a stage is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(spark, keep=(path,))
     return STAGES[-1][1](spark, docs, sf_dir)

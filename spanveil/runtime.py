@@ -40,15 +40,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that written() made and drop_written() hasn't removed.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def drop_written(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Removes the tables that written() has made so far, but for ``keep``; for callers that need no result which reads them any more."""
+    for path in [p for p in _TABLES if p not in keep]:
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
+    if path in _TABLES:
+        _TABLES.remove(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
