@@ -3,25 +3,27 @@
 Distinct vectors go to the nearest of a bounded number of pivots and there to blocks of bounded size.  Each block
 builds one cover tree over its unit vectors: nested levels with halving radii, every node with the largest
 distance to what lies below it.  Pairs of blocks, and then pairs of nodes, are left out where the triangle
-inequality rules out a pair within the threshold's chord; what remains is compared in double precision.  A task
-returns, for each vector, how many it links to and a spanning forest of the links, never the pairs.
+inequality rules out a pair within the threshold's chord; what remains is compared in double precision.  Trees are
+files in the shared folder, which tasks read by path, so vectors are shuffled once.  A task returns, for each vector, how
+many it links to and a spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import fresh_path, written
 from .components import components
 
-#: Vectors to a block, about, and pivots at most; any numbers give the same links.
-BLOCK, PIVOTS = 4096, 1024
+#: Vectors to a block, about, pivots at most, and bytes of pivots at most; any numbers give the same links.
+BLOCK, PIVOTS, PIVOT_BYTES = 4096, 16_384, 32 << 20
 #: Numbers gathered at once where node pairs are expanded, and child pairs from which a product of matrices does it; only speed and memory depend on them.
 EXPAND, WIDE = 1 << 21, 1 << 12
 #: What rounding may add to a distance.
@@ -205,9 +207,9 @@ def link_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedd
     fine = F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(vec_id).alias("id"), F.when(fine, v).alias("v")).withColumn("k", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     nodes, _ = written(rows.where(F.col("v").isNotNull()).groupBy("k").agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count(F.lit(1)).alias("many")), "vectors")
-    n = nodes.count()
-    pivots = nodes.orderBy(F.xxhash64("k", F.lit(1)), "k").limit(min(PIVOTS, math.ceil(n / block))).select("v").collect()
-    by_size: dict[int, np.ndarray] = {}
+    n, widest = nodes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    pivots = nodes.orderBy(F.xxhash64("k", F.lit(1)), "k").limit(min(PIVOTS, math.ceil(n / block), max(1, PIVOT_BYTES // (8 * (widest or 1))))).select("v").collect()
+    by_size: dict[int, list] = {}
     for r in pivots:
         by_size.setdefault(len(r["v"]), []).append(np.array(r["v"]) / np.linalg.norm(r["v"]))
     by_size = {k: np.array(x) for k, x in by_size.items()}
@@ -215,52 +217,71 @@ def link_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedd
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            size, cell = [], []
-            for x in batch.column("v"):
-                x = np.array(x.as_py())
-                size.append(len(x))
-                cell.append(int(np.argmax(by_size[len(x)] @ (x / np.abs(x).max()))) if len(x) in by_size else -1)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), batch.column("many"), pa.array(size, pa.int32()), pa.array(cell, pa.int32())], names=["k", "v", "many", "size", "cell"])
+        for big in batches:
+            for at in range(0, len(big), 512):
+                batch = big.slice(at, 512)
+                v = batch.column("v")
+                size = np.diff(v.offsets.to_numpy())
+                cell = np.full(len(batch), -1, np.int32)
+                for k in np.unique(size).tolist():
+                    if k in by_size:
+                        on = np.flatnonzero(size == k)
+                        x = v.take(pa.array(on)).flatten().to_numpy().reshape(len(on), k)
+                        cell[on] = np.argmax((x / np.abs(x).max(1, keepdims=True)) @ by_size[k].T, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), v, batch.column("many"), pa.array(size.astype(np.int32)), pa.array(cell)], names=["k", "v", "many", "size", "cell"])
 
     placed = nodes.select("k", "v", "many").mapInArrow(place, "k long, v array<double>, many long, size int, cell int")
     parts = placed.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     dealt = placed.join(parts, ["size", "cell"]).withColumn("part", F.pmod(F.xxhash64("k", F.lit(2)), F.col("parts")).cast("int"))
 
+    folder = fresh_path(df.sparkSession, "cover-trees")
+
     def build(table):
         import pyarrow as pa
+        from pyarrow import fs
 
-        x = np.array(table.column("v").to_pylist(), float)
-        x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         name = ":".join(str(table.column(c)[0].as_py()) for c in ("size", "cell", "part"))
         tree = CoverTree(x)
-        keys = table.column("k").to_numpy()
-        row = {"block": name, "size": x.shape[1], "center": x[0].tolist(), "rho": float(tree.rho[0]), "keys": keys.astype(np.int64).tobytes(), "many": table.column("many").to_numpy().astype(np.int64).tobytes(), "tree": tree.dump()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("block", pa.string()), ("size", pa.int32()), ("center", pa.list_(pa.float64())), ("rho", pa.float64()), ("keys", pa.binary()), ("many", pa.binary()), ("tree", pa.binary())]))
-
-    blocks, _ = written(dealt.groupBy("size", "cell", "part").applyInArrow(build, "block string, size int, center array<double>, rho double, keys binary, many binary, tree binary"), "trees")
-    a = blocks.select("size", F.col("block").alias("a"), F.col("center").alias("ca"), F.col("rho").alias("ra"))
-    b = blocks.select("size", F.col("block").alias("b"), F.col("center").alias("cb"), F.col("rho").alias("rb"))
-    apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = a.join(b, "size").where((F.col("a") <= F.col("b")) & (apart <= F.col("ra") + F.col("rb") + math.sqrt(max(0.0, 2 - 2 * cosine)) + 2 * SLACK)).select("a", "b")
-    pairs, _ = written(pairs, "blockpairs")
-    side = lambda s: blocks.select(F.col("block").alias(s), F.struct("keys", "many", "tree").alias(f"of_{s}"))
-    tasks = pairs.join(side("a"), "a").join(side("b"), "b").repartition(max(1, min(20_000, pairs.count())), "a", "b")
+        keys, many = (table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("k", "many"))
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        path = f"{root}/{uuid.uuid4().hex}"  # a task that runs again writes another file
+        with system.open_output_stream(path) as out:
+            out.write(struct.pack("<q", len(table)) + keys + many + tree.dump())
+        row = {"block": name, "size": x.shape[1], "center": x[0].tolist(), "rho": float(tree.rho[0]), "path": path}
+        return pa.Table.from_pylist([row], schema=pa.schema([("block", pa.string()), ("size", pa.int32()), ("center", pa.list_(pa.float64())), ("rho", pa.float64()), ("path", pa.string())]))
+
+    blocks, _ = written(dealt.groupBy("size", "cell", "part").applyInArrow(build, "block string, size int, center array<double>, rho double, path string"), "blocks")
+    side = lambda s: blocks.select("size", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "center", "rho", "path")])
+    apart = F.sqrt(F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near = apart <= F.col("rho_a") + F.col("rho_b") + math.sqrt(max(0.0, 2 - 2 * cosine)) + 2 * SLACK
+    pairs, _ = written(side("a").join(side("b"), "size").where((F.col("block_a") <= F.col("block_b")) & near).select("path_a", "path_b"), "blockpairs")
+    tasks = pairs.repartition(max(1, min(20_000, pairs.count())), "path_a", "path_b").sortWithinPartitions("path_a", "path_b")
+
+    def load(path: str) -> tuple[np.ndarray, np.ndarray, CoverTree]:
+        from pyarrow import fs
+
+        with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as f:
+            raw = f.read()
+        (n,) = struct.unpack_from("<q", raw)
+        return np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n), CoverTree.load(raw[8 + 16 * n :])
 
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for big in batches:
-            for at in range(len(big)):
-                r = big.slice(at, 1).to_pylist()[0]
-                ta = CoverTree.load(r["of_a"]["tree"])
-                ka, ma = np.frombuffer(r["of_a"]["keys"], np.int64), np.frombuffer(r["of_a"]["many"], np.int64)
-                if r["a"] == r["b"]:
+        at = None
+        for batch in batches:
+            for path, other in zip(batch.column("path_a").to_pylist(), batch.column("path_b").to_pylist(), strict=True):
+                if path != at:
+                    at, (ka, ma, ta) = path, load(path)
+                if other == path:
                     forest, shift, tb = _Forest(ka, ma), 0, ta
                 else:
-                    tb, shift = CoverTree.load(r["of_b"]["tree"]), len(ka)
-                    forest = _Forest(np.append(ka, np.frombuffer(r["of_b"]["keys"], np.int64)), np.append(ma, np.frombuffer(r["of_b"]["many"], np.int64)))
+                    kb, mb, tb = load(other)
+                    forest, shift = _Forest(np.append(ka, kb), np.append(ma, mb)), len(ka)
                 for i, j in close_pairs(ta, tb, cosine):
                     forest.add(i.astype(np.int64), j.astype(np.int64) + shift)
                 on = np.flatnonzero(forest.degree)
