@@ -1,10 +1,11 @@
 """Near-duplicates by SimHash, each link checked on the shingles themselves.
 
-The generalised pigeonhole of ``simhash`` finds pairs of shingle sets whose fingerprints differ in few bits, in each of
-SEARCHED words of 64 bits by itself.  A pair is a link only if the exact Jaccard similarity of the two sets is 0.8 or
-more; sizes and all WORDS words rule most other pairs out before their sets are read.  Bits find nearly all such
-pairs, not all: at a similarity of exactly 0.8 a bit differs with a chance of 0.151, so that a word is within MAX_BITS
-for 84 of 100 pairs and one of two words for 97; at 0.9 for 99.9.  Shingles stand for their 64-bit hashes.
+The generalised pigeonhole of ``simhash`` connects shingle sets whose fingerprints differ in few bits, in each of two
+words of 64 bits by itself, to clusters.  Within a cluster every pair of sets is compared, and a pair is a link only if its exact
+Jaccard similarity is 0.8 or more.  A set travels once to its cluster's task; a cluster that is too large for one is
+cut into blocks, and every two blocks meet.  Bits connect nearly all such pairs, not all: at a similarity of exactly 0.8 a
+bit differs with a chance of 0.151, so that a word is within MAX_BITS for 84 of 100 pairs and one of two words for 97; at 0.9
+for 99.9, and others of a cluster connect a pair too.  Shingles stand for their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from .components import components
 
 #: The least similarity, as a fraction of whole numbers.
 TIMES, OF = 4, 5
-#: Words of 64 bits that are searched and that go along, and the most bits that differ in one that is searched.
-SEARCHED, WORDS, MAX_BITS = 2, 4, 12
-#: The most bits of all words that differ: the mean of pairs of similarity 0.8 is 38.7 of 256, the standard deviation 5.7.
-ALL_BITS = 68
+#: Words of 64 bits, the most bits that differ in one of them, and in both: for pairs of similarity 0.8 the mean of 128 bits is 19.3, the standard deviation 4.1.
+WORDS, MAX_BITS, ALL_BITS = 2, 12, 36
+#: Sets and their shingles that a block holds, about; any numbers find the same links.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Shingles that are looked at together where sets are compared; only memory depends on it.
+COLUMNS = 4096
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -52,35 +55,81 @@ def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
     return df.mapInArrow(run, out_schema(df.drop(text), new))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar; nodes: node, n and words, each node once."""
-    side = lambda c, x: nodes.select(F.col("node").alias(c), *(F.col(n).alias(f"{x}{n}") for n in nodes.columns if n != "node"))
-    far = sum((F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS)), F.lit(0))
-    may = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where((far <= ALL_BITS) & (OF * F.least("xn", "yn") >= TIMES * F.greatest("xn", "yn")))
-    pairs, _ = written(may.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    met, _ = written(sets.select("node", "members").join(wanted, "node", "left_semi").drop_duplicates(["node"]), "met")
-    sides = pairs.join(met.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(met.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+def similar(members: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of the sets are similar, as a symmetric matrix; a set is similar to itself."""
+    m = len(members)
+    n = np.array([len(x) for x in members])
+    both = np.zeros((m, m), np.float32)
+    if m == 2:
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*members, assume_unique=True))
+    else:
+        owner = np.repeat(np.arange(m), n)
+        _, which, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        on = count[which] > 1
+        rank = np.cumsum(count > 1) - 1
+        which, owner = rank[which[on]], owner[on]
+        order = np.argsort(which, kind="stable")
+        which, owner = which[order], owner[order]
+        for at in range(0, int(which[-1]) + 1 if len(which) else 0, COLUMNS):
+            s, e = np.searchsorted(which, [at, at + COLUMNS])
+            part = np.zeros((m, COLUMNS), np.float32)
+            part[owner[s:e], which[s:e] - at] = 1
+            both += part @ part.T
+    np.fill_diagonal(both, n)
+    return (TIMES + OF) * both >= TIMES * (n[:, None] + n[None, :])
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(member, first member) of the connected parts of a matrix of links."""
+    left, out = np.ones(len(near), bool), []
+    for i in range(len(near)):
+        if left[i]:
+            part, new = near[i] & left, near[i] & left
+            while new.any():
+                left &= ~new
+                new = near[new].any(0) & left
+                part = part | new
+            out += [(j, i) for j in np.flatnonzero(part).tolist() if j != i]
+    return out
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """(a, b): similar pairs of nodes that connect whatever the similar pairs connect within the clusters that bits make."""
+    words = [f"w{i}" for i in range(WORDS)]
+    nodes, _ = written(sets.drop("members").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *words))), "nodes")
+    clusters = components(simhash.links(nodes, MAX_BITS, tuple(words), ALL_BITS))
+    clusters, _ = written(clusters.join(nodes.select("node", "n"), "node"), "clusters")
+    cut = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    cuts, _ = written(clusters.groupBy("root").agg(cut.alias("k")), "cuts")
+    own = clusters.join(cuts, "root").withColumn("x", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    # a block meets every other one, and with that itself
+    other = F.explode(F.when(F.col("k") == 1, F.array("x")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("k") - 1), F.col("x"))))
+    dealt = own.withColumn("y", other).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node")
+    met, _ = written(sets.select("node", "members").join(clusters.select("node"), "node", "left_semi").drop_duplicates(["node"]), "met")
+    rows = dealt.join(met, "node").select("root", "i", "j", "node", "members").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            keep = []
-            for v, w in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (v, w))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append((TIMES + OF) * both >= TIMES * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).take(np.flatnonzero(keep))
+        import pyarrow as pa
 
-    return written(sides.mapInArrow(run, "a long, b long"), "similar")[0]
+        at, ids, members = None, [], []
 
+        def close() -> Iterator:
+            if len(ids) > 1:
+                pairs = _forest(similar(members))
+                if pairs:
+                    a, b = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in a], pa.int64()), pa.array([ids[k] for k in b], pa.int64())], names=["a", "b"])
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): similar pairs of nodes that connect whatever the similar pairs connect that the bits find."""
-    nodes, _ = written(sets.drop("members").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *(f"w{i}" for i in range(WORDS))))), "nodes")
-    found = None
-    for i in range(SEARCHED):
-        found = simhash.links(nodes.select(F.col(f"w{i}").alias("fp"), "node"), MAX_BITS, accept=lambda pairs: verified(pairs, nodes, sets), known=found)
-    return found
+        for batch in batches:
+            for root, i, j, node, v in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+                if (root, i, j) != at:
+                    yield from close()
+                    at, ids, members = (root, i, j), [], []
+                ids.append(node)
+                members.append(np.frombuffer(v.as_py(), np.uint64))
+        yield from close()
+
+    return written(rows.mapInArrow(run, "a long, b long"), "similar")[0]
 
 
 def group(sets: DataFrame, own: str = "doc_id") -> DataFrame:

@@ -14,7 +14,7 @@ A crowded part value's rows are dealt out as a grid of blocks in which those of
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -170,44 +170,48 @@ def cheapest_parts(n: int, max_bits: int) -> int:
     return min(range(2, max(2, max_bits + 1) + 1), key=cost) if max_bits else 2
 
 
-def make_plan(fps: DataFrame, max_bits: int, parts: int | None = None) -> Plan:
-    """From all rows of ``fps`` (fp). What reaches the driver is 64 x 64 sums and two histograms of at most 2^16 counts a part."""
-    n = fps.count()
+def make_plans(fps: DataFrame, max_bits: int, parts: int | None = None) -> list[Plan]:
+    """A plan for each column of ``fps``, from all rows. What reaches the driver is 64 x 64 sums and two histograms of at most 2^16 counts a part, for each."""
+    n, words = fps.count(), len(fps.columns)
     m = parts or cheapest_parts(n, max_bits)
 
     def sums(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        out = np.zeros((64, 64))
+        out = np.zeros((words, 64, 64))
         for batch in batches:
-            bits = np.unpackbits(batch.column(0).to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            out += bits.T @ bits
+            for w in range(words):
+                bits = np.unpackbits(batch.column(w).to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                out[w] += bits.T @ bits
         k = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(out.ravel()[k].astype(np.int64))], names=["k", "n"])
 
-    both = np.zeros(64 * 64)
-    for r in fps.select("fp").mapInArrow(sums, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        both[r["k"]] = r["n"]
-    both = both.reshape(64, 64) / max(1, n)
-    p = np.diag(both)
-    sd = np.sqrt(p * (1 - p)) + 1e-9
-    plan = Plan(max_bits, n, group_bits((both - np.outer(p, p)) / np.outer(sd, sd), m))
-    halves = [(i, j, bits) for i, h in enumerate(plan.halves) for j, bits in enumerate(h)]
+    every = np.zeros(words * 64 * 64)
+    for r in fps.mapInArrow(sums, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        every[r["k"]] = r["n"]
+    plans = []
+    for both in every.reshape(words, 64, 64) / max(1, n):
+        p = np.diag(both)
+        sd = np.sqrt(p * (1 - p)) + 1e-9
+        plans.append(Plan(max_bits, n, group_bits((both - np.outer(p, p)) / np.outer(sd, sd), m)))
+    halves = [(w, i, j, bits) for w, plan in enumerate(plans) for i, h in enumerate(plan.halves) for j, bits in enumerate(h)]
 
     def values(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            for k, (_, _, bits) in enumerate(halves):
-                v, c = np.unique(take(x, bits), return_counts=True)
+            x = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            for k, (w, _, _, bits) in enumerate(halves):
+                v, c = np.unique(take(x[w], bits), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v), pa.array(c)], names=["k", "v", "n"])
 
-    counts = {(i, j): np.zeros(1 << len(bits)) for i, j, bits in halves}
-    for r in fps.select("fp").mapInArrow(values, "k int, v long, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[halves[r["k"]][:2]][r["v"]] = r["n"]
-    plan.learn(counts)
-    return plan
+    counts = [{(i, j): np.zeros(1 << len(bits)) for u, i, j, bits in halves if u == w} for w in range(words)]
+    for r in fps.mapInArrow(values, "k int, v long, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).toLocalIterator():
+        w, i, j, _ = halves[r["k"]]
+        counts[w][i, j][r["v"]] = r["n"]
+    for plan, own in zip(plans, counts, strict=True):
+        plan.learn(own)
+    return plans
 
 
 class Sets:
@@ -232,34 +236,50 @@ class Sets:
         return True
 
 
-def _keyed(nodes: DataFrame, plan: Plan, probe: bool) -> DataFrame:
-    """``nodes`` (fp first, longs) by part value: key, and the columns; with ``probe`` by all values within the row's thresholds."""
-    names = nodes.columns
-    masks = [[np.array([sum(1 << b for b in c) for c in combinations(range(len(p)), d)], np.int64) for d in range(plan.top + 1)] for p in plan.parts]
+def _keyed(nodes: DataFrame, plans: list[Plan], probe: bool) -> DataFrame:
+    """``nodes`` (longs; the first columns are the plans' words) by part value: key, the words from the one it is of on (fp, x1 and so on), and the other columns; with ``probe`` by all values within the row's thresholds."""
+    count = len(plans)
+    names = ["key", *_words(count), *nodes.columns[count:]]
+    masks = [[[np.array([sum(1 << b for b in c) for c in combinations(range(len(p)), d)], np.int64) for d in range(plan.top + 1)] for p in plan.parts] for plan in plans]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for big in batches:
             for at in range(0, len(big), 1024):
-                own = np.stack([c.slice(at, 1024).to_numpy() for c in big.columns])
-                x = own[0].view(np.uint64)
-                got = plan.allocate(x) if probe else None
-                for i, bits in enumerate(plan.parts):
-                    v = take(x, bits)
-                    for d in range(plan.top + 1 if probe else 1):
-                        on = np.flatnonzero(got[:, i] >= d) if probe else np.arange(len(x))
-                        if len(on):
-                            keys = (v[on][:, None] ^ masks[i][d][None, :] if probe else v[:, None]).ravel()
-                            key = keys * len(plan.parts) + i
-                            each = np.repeat(own[:, on], len(key) // len(on), axis=1)
-                            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in each)], names=["key", *names])
+                whole = np.stack([c.slice(at, 1024).to_numpy() for c in big.columns])
+                for w, plan in enumerate(plans):
+                    own = whole[[*((w + k) % count for k in range(count)), *range(count, len(whole))]]
+                    x = own[0].view(np.uint64)
+                    got = plan.allocate(x) if probe else None
+                    for i, bits in enumerate(plan.parts):
+                        v = take(x, bits)
+                        for d in range(plan.top + 1 if probe else 1):
+                            on = np.flatnonzero(got[:, i] >= d) if probe else np.arange(len(x))
+                            if len(on):
+                                keys = (v[on][:, None] ^ masks[w][i][d][None, :] if probe else v[:, None]).ravel()
+                                key = (keys * len(plan.parts) + i) * count + w
+                                each = np.repeat(own[:, on], len(key) // len(on), axis=1)
+                                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in each)], names=names)
 
-    return nodes.mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *names)))
+    return nodes.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _first(dealt: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): for each row of key, d, fp, node, with the key's least as least_fp and least_node, the nearest of the least and the FIRST ones before it, if within ``max_bits``."""
+def _words(count: int) -> list[str]:
+    return ["fp", *(f"x{k}" for k in range(1, count))]
+
+
+def _apart(x: np.ndarray, y: np.ndarray, max_bits: int, all_bits: int) -> np.ndarray:
+    """Differing bits of words (a row each) that broadcast, 999 where the first ones' or all are too many."""
+    first = np.bitwise_count(x[0] ^ y[0]).astype(np.int16)
+    total = first.copy()
+    for u, v in zip(x[1:], y[1:], strict=True):
+        total += np.bitwise_count(u ^ v)
+    return np.where((first <= max_bits) & (total <= all_bits), total, 999)
+
+
+def _first(dealt: DataFrame, words: int, max_bits: int, all_bits: int) -> DataFrame:
+    """(a, b): for each row of key, d, words, node, with the key's least one's words and node, that and the nearest of the FIRST ones before it, if they are near enough."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -267,20 +287,20 @@ def _first(dealt: DataFrame, max_bits: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            key, d, fp, node, least, least_node = (c.to_numpy() for c in batch.columns)
-            fp, least, a, b = fp.view(np.uint64), least.view(np.uint64), [], []
+            key, d, *cols = (c.to_numpy() for c in batch.columns)
+            own, node = np.stack(cols[:words]).view(np.uint64), cols[words]
+            least, least_node = np.stack(cols[words + 1 : -1]).view(np.uint64), cols[-1]
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (d[1:] != d[:-1])) + 1  # a run that the batches cut has more first ones, which does no harm
             begin, end = np.append(0, cuts), np.append(cuts, len(key))
+            near = _apart(own, least, max_bits, all_bits) < 999
+            a, b = [node[near]], [least_node[near]]
             more = end - begin > 1
-            near = np.bitwise_count(fp ^ least) <= max_bits
-            a.append(node[near])
-            b.append(least_node[near])
             for s, e in zip(begin[more].tolist(), end[more].tolist(), strict=True):
-                x = fp[s:e]
-                far = np.bitwise_count(x[:, None] ^ x[None, :FIRST]).astype(np.int16)
-                far[np.arange(len(x))[:, None] <= np.arange(far.shape[1])[None, :]] = 99
+                x = own[:, s:e]
+                far = _apart(x[:, :, None], x[:, None, :FIRST], max_bits, all_bits)
+                far[np.arange(e - s)[:, None] <= np.arange(far.shape[1])[None, :]] = 999
                 j = far.argmin(1)
-                on = np.flatnonzero(far[np.arange(len(x)), j] <= max_bits)
+                on = np.flatnonzero(far[np.arange(e - s), j] < 999)
                 a.append(node[s:e][on])
                 b.append(node[s:e][j[on]])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -290,11 +310,8 @@ def _first(dealt: DataFrame, max_bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _meet(dealt: DataFrame, max_bits: int, every: bool) -> DataFrame:
-    """(a, b): pairs within ``max_bits`` of different roots, of rows with kind 0 and 1 and equal key, d, p, in that order.
-
-    Unless ``every``, a task leaves out pairs whose ends its earlier pairs connect.
-    """
+def _meet(dealt: DataFrame, words: int, max_bits: int, all_bits: int) -> DataFrame:
+    """(a, b): roots of rows that are near enough, of rows (key, d, p, kind, words, root) with kind 0 and 1 and equal key, d, p, in that order; a pair only where a task's earlier pairs don't connect it."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -304,12 +321,12 @@ def _meet(dealt: DataFrame, max_bits: int, every: bool) -> DataFrame:
             if not len(batch):
                 continue
             key, d, p, kind, *own_cols = (c.to_numpy() for c in batch.columns)
-            whole = np.stack(own_cols)  # fp, node, root
+            whole = np.stack(own_cols)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])) + 1
             begin, end = np.append(0, cuts), np.append(cuts, len(key))
-            worth = (np.minimum.reduceat(kind, begin) == 0) & (np.minimum.reduceat(whole[2], begin) != np.maximum.reduceat(whole[2], begin))
+            worth = (np.minimum.reduceat(kind, begin) == 0) & (np.minimum.reduceat(whole[-1], begin) != np.maximum.reduceat(whole[-1], begin))
             worth[[0, -1]] = True  # a run may go on in the next batch
-            found: list[np.ndarray] = []
+            found: list[tuple[int, int]] = []
             for a, b in zip(begin[worth].tolist(), end[worth].tolist(), strict=True):
                 if at != (here := (key[a], d[a], p[a])):
                     at, held = here, []
@@ -322,64 +339,55 @@ def _meet(dealt: DataFrame, max_bits: int, every: bool) -> DataFrame:
                 own = held[0]
                 for s in range(k, b, 256):
                     q = whole[:, s : min(s + 256, b)]
-                    i, j = np.nonzero((np.bitwise_count(q[0].view(np.uint64)[:, None] ^ own[0].view(np.uint64)[None, :]) <= max_bits) & (q[2][:, None] != own[2][None, :]))
-                    if not len(i):
-                        continue
-                    if every:
-                        found.append(np.stack([np.maximum(q[1][i], own[1][j]), np.minimum(q[1][i], own[1][j])]))
-                        continue
-                    x, y = q[2][i], own[2][j]
+                    i, j = np.nonzero((np.bitwise_count((q[0][:, None] ^ own[0][None, :]).view(np.uint64)) <= max_bits) & (q[-1][:, None] != own[-1][None, :]))
+                    if words > 1 and len(i):
+                        on = np.flatnonzero(_apart(q[:words, i].view(np.uint64), own[:words, j].view(np.uint64), max_bits, all_bits) < 999)
+                        i, j = i[on], j[on]
+                    x, y = q[-1][i], own[-1][j]
                     if len(x) > 4096:  # a dense group: most of these are joined already
                         seen, back = np.unique(np.concatenate([x, y]), return_inverse=True)
                         root = np.array([sets.root(v) for v in seen.tolist()])[back]
                         new = np.flatnonzero(root[: len(x)] != root[len(x) :])
                         x, y = x[new], y[new]
-                    new = [(u, v) for u, v in zip(x.tolist(), y.tolist(), strict=True) if sets.join(u, v)]
-                    if new:
-                        found.append(np.array(new, np.int64).T)
+                    found += [(u, v) for u, v in zip(x.tolist(), y.tolist(), strict=True) if sets.join(u, v)]
             if found:
-                x, y = np.unique(np.concatenate(found, axis=1), axis=1)
+                x, y = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, max_bits: int = 4, plan: Plan | None = None, accept: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(a, b): links between nodes (columns fp, node: longs, no repeated node) that connect whatever all links connect.
+def links(nodes: DataFrame, max_bits: int = 4, words: tuple[str, ...] = ("fp",), all_bits: int | None = None) -> DataFrame:
+    """(a, b): links between nodes (column node and the words: longs, no repeated node) that connect whatever all links connect.
 
-    A link is a pair within ``max_bits``; with ``accept``, one of those that it returns of the pairs (a, b) it is given.
-    ``known`` links go into the result, and what they connect isn't compared again.
+    A link is a pair within ``max_bits`` in one of the words and, if given, within ``all_bits`` in all of them together.
     """
-    plan = plan or make_plan(nodes, max_bits)
-    nodes = nodes.select("fp", "node")
-    data = _keyed(nodes, plan, False)
+    count, all_bits = len(words), 64 * len(words) if all_bits is None else all_bits
+    nodes = nodes.select(*words, "node")
+    plans = make_plans(nodes.select(*words), max_bits)
+    own = _words(count)
+    data = _keyed(nodes, plans, False)
     size = F.ceil(F.col("n") / BLOCK).cast("int")
-    least = data.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("least")).where("n > 1")
-    least, _ = written(least.select("key", size.alias("k"), F.col("least.fp").alias("least_fp"), F.col("least.node").alias("least_node")), "part-values")
-    dealt = data.join(least, "key").select("key", F.pmod(F.xxhash64("node"), "k").cast("int").alias("d"), "fp", "node", "least_fp", "least_node")
-    first = _first(dealt.repartition("key", "d").sortWithinPartitions("key", "d", "node"), max_bits).distinct()
-    if known is not None:
-        was = components(known)
-        ends = first.join(was.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(was.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
-        first = ends.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-    first, _ = written(accept(first) if accept else first, "first-links")
-    first = first if known is None else first.union(known)
-    rooted = nodes.join(components(first), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
+    least = data.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", *own)).alias("least")).where("n > 1")
+    least, _ = written(least.select("key", size.alias("k"), *[F.col(f"least.{c}").alias(f"least_{c}") for c in (*own, "node")]), "part-values")
+    dealt = data.join(least, "key").select("key", F.pmod(F.xxhash64("node"), "k").cast("int").alias("d"), *own, "node", *[f"least_{c}" for c in (*own, "node")])
+    first = _first(dealt.repartition("key", "d").sortWithinPartitions("key", "d", "node"), count, max_bits, all_bits).distinct()
+    first, _ = written(first, "first-links")
+    rooted = nodes.join(components(first), "node", "left").select(*words, "node", F.coalesce("root", "node").alias("root"))
     rooted, _ = written(rooted, "rooted")
 
-    data, probes = _keyed(rooted, plan, False), _keyed(rooted, plan, True)
+    data, probes = _keyed(rooted, plans, False), _keyed(rooted, plans, True)
     crowded = data.join(least.where("k > 1").select("key"), "key").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     crowded = crowded.groupBy("key").agg(F.max(F.struct("n", "root")).alias("lead"), F.sum("n").alias("n"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     crowded, _ = written(crowded.select("key", F.col("lead.root").alias("lead"), blocks(F.col("lead.n")).alias("own"), blocks(F.col("n") - F.col("lead.n")).alias("rest")), "crowded")
     # blocks of the rows that aren't of the key's largest set, then blocks of that set; elsewhere one block
-    leads, own, rest = F.coalesce(F.col("root") == F.col("lead"), F.lit(False)), F.coalesce("own", F.lit(0)), F.coalesce("rest", F.lit(1))
-    block = F.when(leads, rest + F.pmod(F.xxhash64("node"), own)).otherwise(F.pmod(F.xxhash64("node"), rest)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(leads, rest).otherwise(rest + own) - 1))
-    to = lambda rows, d, p, kind: rows.join(crowded, "key", "left").select("key", d.alias("d"), p.alias("p"), F.lit(kind).alias("kind"), "fp", "node", "root")
+    leads, mine, rest = F.coalesce(F.col("root") == F.col("lead"), F.lit(False)), F.coalesce("own", F.lit(0)), F.coalesce("rest", F.lit(1))
+    block = F.when(leads, rest + F.pmod(F.xxhash64("node"), mine)).otherwise(F.pmod(F.xxhash64("node"), rest)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(leads, rest).otherwise(rest + mine) - 1))
+    to = lambda rows, d, p, kind: rows.join(crowded, "key", "left").select("key", d.alias("d"), p.alias("p"), F.lit(kind).alias("kind"), *own, "root")
     dealt = to(data, block, others, 0).union(to(probes, others, block, 1)).repartition("key", "d", "p").sortWithinPartitions("key", "d", "p", "kind")
-    met = _meet(dealt, max_bits, accept is not None)
-    return first.union(accept(met.distinct()) if accept else met)
+    return first.union(_meet(dealt, count, max_bits, all_bits))
 
 
 def group(df: DataFrame, *, doc_id: str = "doc_id", max_bits: int = 4) -> DataFrame:
