@@ -28,12 +28,14 @@ def _matches(text: Column, spec: Spec, ord_: int, low: Column, digit: Column) ->
         return F.struct(eb.alias("b"), ec.alias("c"), F.concat(acc["out"], F.array(e)).alias("out"))
 
     got = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("0"), found.alias("1")), zero, step, lambda acc: acc["out"])
+    # most texts have no match: one search says so, where extracting and splitting are two whole passes
     guard = None
     for g in spec.guards:
         guard = F.contains(low, F.lit(g)) if guard is None else guard | F.contains(low, F.lit(g))
     if spec.digit:
         guard = digit if guard is None else digit & guard
-    return F.coalesce(F.when(guard, got), _none()) if guard is not None else F.coalesce(got, _none())
+    there = text.rlike("(?U)" + spec.pattern)
+    return F.coalesce(F.when(there if guard is None else guard & there, got), _none())
 
 
 def candidates(text: str | Column, low: Column | None = None, digit: Column | None = None) -> Column:
