@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.validators import PLACEHOLDER
 from ..runtime import written
 from ..sources.config import Settings
 from . import audit, detect, judge, model, plugins, policy, sanitize, transform, validate, vault
@@ -38,6 +39,9 @@ class Pipeline:
             raise UnknownStage(f"{stage}: process needs a program")
         return shlex.split(found)
 
+    def process_vault(self) -> plugins.ProcessVault:
+        return plugins.ProcessVault(self.program("vault"), self.timeout)
+
     @property
     def timeout(self) -> float:
         return self.settings.process_timeout_ms / 1000
@@ -129,7 +133,7 @@ def build(spark: SparkSession, settings: Settings, *, key: bytes | None = None,
     audit.check_paths(vault=s.vault_path, audit=s.audit_path, vault_key_file=s.vault_key_file, canary_key_file=s.canary_key_file)
     if key is None and s.vault_key_file:
         key = read_key(s.vault_key_file)
-    if s.transformer == "pseudonymize" and not key:
+    if s.transformer == "pseudonymize" and s.vault != "process" and not key:
         raise ValueError("pseudonymize needs a key")
     found = Pipeline(spark, s, key or b"", matrix, scorer)
     if s.vault_path:
@@ -171,6 +175,12 @@ def run(p: Pipeline, df: DataFrame, *, doc_id: str = "doc_id", scope: str = "sco
                 p.store.write(full, top)
             full = p.store.read()
             out = sanitize.with_tokens(got, full, doc_id=doc_id, scope=scope, text=text, error=error)
+        elif p.settings.vault == "process":
+            wanted = sanitize.wanted_mappings(got.where(error.isNull()), doc_id=doc_id, scope=scope)
+            minted, _ = written(p.process_vault().mint(wanted), "minted")
+            refused = wanted.join(minted.where("plugin_error is not null"), vault.KEYS).groupBy("d").agg(F.min("plugin_error").alias("__refused"))
+            got, error = got.join(refused.withColumnRenamed("d", doc_id), doc_id, "left"), F.coalesce(error, F.col("__refused"))
+            out = sanitize.with_tokens(got, minted.where("token is not null"), doc_id=doc_id, scope=scope, text=text, error=error)
         else:
             out, _, _ = sanitize.pseudonymize_all(got, key=p.key, doc_id=doc_id, scope=scope, text=text, now=now, planned=True, error=error)
     elif how == "process":
@@ -202,9 +212,14 @@ def _keep(p: Pipeline, out: DataFrame, scope: str, now: int) -> None:
 def restore(p: Pipeline, df: DataFrame, *, doc_id: str = "doc_id", scope: str = "scope", text: str = "text", now: int = 0, batch: int | None = None) -> DataFrame:
     """(doc_id, text, resolved) from the pipeline's store; its audit records are written first."""
     mappings = p.store.read() if p.store is not None else None
+    if p.settings.vault == "process":
+        tokens = df.select(F.col(scope).alias("scope"), F.explode(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))).alias("token")).distinct()
+        mappings, _ = written(p.process_vault().resolve(tokens).where("original is not null").select("scope", "original", "token", F.lit(None).cast("long").alias("created_at")), "resolved")
+        out = vault.restore(df, mappings, key=doc_id, text=text, scope=scope, minted=False)
     if mappings is None:
         mappings = p.spark.createDataFrame([], "scope string, kind string, original string, token string, counter long, created_at long")
-    out = vault.restore(df, vault.live(mappings, now, p.settings.vault_ttl_seconds), key=doc_id, text=text, scope=scope)
+    if p.settings.vault != "process":
+        out = vault.restore(df, vault.live(mappings, now, p.settings.vault_ttl_seconds), key=doc_id, text=text, scope=scope)
     if p.sink is not None:
         out, _ = written(out, "restored")
         rows = out.join(df.select(doc_id, F.col(scope).cast("string").alias("__scope")), doc_id)
@@ -220,6 +235,9 @@ def forget(p: Pipeline, scopes: DataFrame, *, now: int = 0, batch: int | None =
             mappings, counters = p.store.read_both()
             if mappings is not None:
                 p.store.write(vault.forget(mappings, scopes), vault.forget(counters, scopes))
+    if p.settings.vault == "process":
+        for r in scopes.select("scope").distinct().toLocalIterator():  # a call of the child each
+            p.process_vault().forget(r["scope"])
     if p.sink is not None:
         ev = audit.event("forget", outcome=F.lit("ok"), session=F.col("scope").cast("string"), now=F.lit(now))
         p.sink.append(scopes.select(F.col("scope").alias("o"), ev.alias("event")), batch=batch)
@@ -241,7 +259,7 @@ def doctor(spark: SparkSession, settings: Settings, scorer: Callable | None = No
         ("policy", "ok" if s.policy in POLICIES else "unknown"),
         ("transformer", "ok" if s.transformer in TRANSFORMERS else "unknown"),
         ("model", model.probe(scorer, s.model_max_tokens) if s.detector in ("model", "hybrid") else "unset"),
-        ("programs", "ok" if all(getattr(s, f"{n}_program") for n in ("detector", "judge", "policy", "transformer") if getattr(s, n) == "process") else "program_missing"),
+        ("programs", "ok" if all(getattr(s, f"{n}_program") for n in ("detector", "judge", "policy", "transformer", "vault") if getattr(s, n) == "process") else "program_missing"),
         ("vault_key", attempt(lambda: read_key(s.vault_key_file), "unreadable") if s.vault_key_file else "unset"),
         ("canary_key", attempt(lambda: read_key(s.canary_key_file), "unreadable") if s.canary_key_file else "unset"),
         ("paths", attempt(lambda: audit.check_paths(vault=s.vault_path, audit=s.audit_path, vault_key_file=s.vault_key_file, canary_key_file=s.canary_key_file) or True, "shared")),

@@ -27,8 +27,8 @@ class VaultStore:
     fails the read.  The key comes from a one-row table, so plans and event logs don't show it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: bytes | None = None):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: bytes | None = None, wait: float = 60.0):
+        self.spark, self.path, self.key, self.wait = spark, path.rstrip("/"), key, wait
 
     def _cipher(self, df: DataFrame, back: bool) -> DataFrame:
         if self.key is None:
@@ -84,9 +84,9 @@ class VaultStore:
             remove(self.spark, f"{self.path}/{old}")
 
     @contextmanager
-    def lock(self, wait: float = 60.0, stale: float = 3600.0) -> Iterator[None]:
-        """Holds the writer's lock; TimeoutError if another does for ``wait`` seconds. A lock older than ``stale`` seconds is a dead writer's."""
-        fs, at, until = self._fs(), self._at("LOCK"), time.time() + wait
+    def lock(self, wait: float | None = None, stale: float = 3600.0) -> Iterator[None]:
+        """Holds the writer's lock; TimeoutError if another does for ``wait`` (the store's) seconds. A lock older than ``stale`` seconds is a dead writer's."""
+        fs, at, until = self._fs(), self._at("LOCK"), time.time() + (self.wait if wait is None else wait)
         while True:
             try:
                 fs.create(at, False).close()

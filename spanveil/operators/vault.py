@@ -92,11 +92,11 @@ def resolve(tokens: DataFrame, mappings: DataFrame) -> DataFrame:
     return tokens.join(mappings.where(is_minted(F.col("token"))).select("scope", "token", "kind", "original"), ["scope", "token"])
 
 
-def restore(df: DataFrame, vault: DataFrame, *, key: str, text: str, scope: str) -> DataFrame:
-    """(key, text, resolved): minted tokens of the row's own scope replaced by their originals in one pass, others untouched."""
+def restore(df: DataFrame, vault: DataFrame, *, key: str, text: str, scope: str, minted: bool = True) -> DataFrame:
+    """(key, text, resolved): tokens of the row's own scope replaced by their originals in one pass, others untouched; of ``minted`` form only, unless a process minted them."""
     found = F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER), F.lit(0))
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(scope).alias("scope"), F.split(F.col(text), PLACEHOLDER, -1).alias("gaps"), found.alias("found"))
-    tokens = rows.select("k", "scope", F.explode(F.array_distinct("found")).alias("token")).join(vault.where(is_minted(F.col("token"))).select("scope", "token", "original"), ["scope", "token"])
+    tokens = rows.select("k", "scope", F.explode(F.array_distinct("found")).alias("token")).join(vault.where(is_minted(F.col("token")) | F.lit(not minted)).select("scope", "token", "original"), ["scope", "token"])
     maps = tokens.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("m"))
     got = rows.join(maps, "k", "left").withColumn("m", F.coalesce("m", F.expr("cast(map() as map<string,string>)")))
     out = F.array_join(F.zip_with(F.col("gaps"), F.col("found"), lambda g, f: F.concat(g, F.when(f.isNull(), "").otherwise(F.coalesce(F.try_element_at("m", f), f)))), "")

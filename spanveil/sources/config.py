@@ -19,6 +19,7 @@ class Settings:
     data_category: str = "personal"
     purpose: str | None = None
     jurisdiction: str | None = None
+    vault: str = "memory"
     vault_path: str | None = None
     vault_key_file: str | None = None
     vault_ttl_seconds: int | None = None
@@ -35,19 +36,20 @@ class Settings:
     judge_program: str | None = None
     policy_program: str | None = None
     transformer_program: str | None = None
+    vault_program: str | None = None
 
 
 # What settings may be.
 CHOICES = {
     "detector": ("regex", "model", "hybrid", "process"), "judge": ("none", "heuristics", "process"), "policy": ("default", "matrix", "process"),
     "transformer": ("pseudonymize", "generalize", "mask", "process"), "recipient": ("local", "trusted", "external", "unknown"),
-    "data_category": ("non_personal", "personal", "special_category"),
+    "data_category": ("non_personal", "personal", "special_category"), "vault": ("memory", "store", "process"),
 }
 LEAST = {"vault_ttl_seconds": 1, "audit_max_records": 0, "audit_max_bytes": 0, "model_max_tokens": 16, "model_threads": 1, "process_timeout_ms": 1}
 CONTEXT = ("recipient", "data_category", "purpose", "jurisdiction")
 TOOLS = ("sanitize", "inspect", "restore", "forget")
 #: What a report says by value; of the rest it says only whether they are set.
-SHOWN = ("detector", "judge", "policy", "transformer", "recipient", "data_category", "vault_ttl_seconds", "audit_max_records", "audit_max_bytes", "tools", "model_max_tokens", "model_threads", "model_threshold", "process_timeout_ms")
+SHOWN = ("detector", "judge", "policy", "transformer", "recipient", "data_category", "vault", "vault_ttl_seconds", "audit_max_records", "audit_max_bytes", "tools", "model_max_tokens", "model_threads", "model_threshold", "process_timeout_ms")
 
 
 def checked(layer: str, name: str, value):
@@ -92,6 +94,10 @@ def resolve(path: str | None = None, env: dict[str, str] | None = None, *, trust
                 raise ValueError(f"{layer}: {k} isn't taken from a file that isn't trusted")
             setattr(out, k, checked(layer, k, v))
             origin[k] = layer
+    if out.vault_path and origin["vault"] == "default":
+        out.vault = "store"  # a path implies it
+    if (out.vault == "store") != bool(out.vault_path) or (out.vault == "process" and not out.vault_program):
+        raise ValueError(f"vault: {out.vault} needs its path or program, and no other")
     if out.vault_ttl_seconds is not None and out.transformer not in ("pseudonymize", "process"):
         raise ValueError("vault_ttl_seconds needs a transformer with a vault")
     return out, origin

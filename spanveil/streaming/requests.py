@@ -32,8 +32,8 @@ def parse(lines: DataFrame, line: str = "value", tools: tuple[str, ...] = DEFAUL
     raw, base = F.col(line), context or policy.Context()
     got = lines.withColumn("row", F.monotonically_increasing_id() if order is None else order).where(F.coalesce(F.trim(raw), F.lit("")) != "")
     small = F.octet_length(raw) <= MAX_FRAME
-    got = got.withColumn("v", F.when(small, F.try_parse_json(raw)))
-    got = got.withColumn("is_json", F.when(small, F.col("v").isNotNull()))
+    got = got.withColumn("v", F.when(small & F.is_valid_utf8(raw), F.try_parse_json(raw)))
+    got = got.withColumn("is_json", F.when(small, F.col("v").isNotNull() & F.is_valid_utf8(raw)))
     at = lambda path: F.try_variant_get("v", path, "string")
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("v", path, "variant")), F.lit("VOID"))
     obj = lambda path: F.startswith(kind(path), F.lit("OBJECT"))

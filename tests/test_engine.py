@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import validators as V
 from spanveil.functions.patterns import SPECS
-from spanveil.operators import audit, detect, engine, judge, model, plugins, policy, quality, sanitize, transform, tree, validate, vault, windows
+from spanveil.operators import audit, detect, engine, judge, model, plugins, policy, quality, sanitize, sql, transform, tree, validate, vault, windows
 from spanveil.operators.store import VaultStore, create_key, encrypt_in_place, read_key
 from spanveil.plans import fixtures
 from spanveil.sources.config import Settings, matrix, report, resolve, tool_names
-from spanveil.streaming import requests
+from spanveil.streaming import lifecycle, requests
 
 KEY = b"k" * 32
 
@@ -447,3 +447,53 @@ def test_settings_layers(tmp_path):
     f.write_text("zap = 1\n")
     with pytest.raises(ValueError):
         resolve(str(f), {})
+
+
+def test_process_vault_in_the_pipeline(spark, child, tmp_path):
+    s = Settings(detector="process", vault="process", audit_path=f"file://{tmp_path}/a", detector_program=" ".join(child), vault_program=" ".join(child))
+    p = engine.build(spark, s)
+    df = spark.createDataFrame([(1, "a SEC b", "s"), (2, "none here", "s")], "doc_id long, text string, scope string")
+    got = {r.doc_id: r for r in engine.run(p, df).collect()}
+    assert (got[1].status, got[1].error) == ("error", "vault_round_trip") and got[2].clean_text == "none here"  # that child only knows kind k
+    back = engine.restore(p, spark.createDataFrame([(1, "x __DO_PRIVATE_fine__ __DO_PRIVATE_lost__", "s")], df.schema)).first()
+    assert (back.text, back.resolved) == ("x fine __DO_PRIVATE_lost__", 1)
+    engine.forget(p, spark.createDataFrame([("s",)], "scope string"))
+    with pytest.raises(plugins.PluginError):
+        engine.forget(p, spark.createDataFrame([("t",)], "scope string"))
+
+
+def test_counter_overflow_is_an_error(spark):
+    wanted = spark.createDataFrame([("s", "email", "x@y.org", 1)], "scope string, kind string, original string, first int")
+    top = spark.createDataFrame([("s", "email", 2**63 - 1)], "scope string, kind string, value long")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        vault.mint(wanted, None, top, KEY)
+
+
+def test_lifecycle_forgets_and_latches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    p = engine.build(spark, Settings(vault="store", vault_path=f"file://{tmp_path}/v"), key=KEY)
+    engine.run(p, spark.createDataFrame([(1, "a@b.org", "s"), (2, "a@b.org", "t")], "doc_id long, text string, scope string")).collect()
+    (tmp_path / "in" / "1").write_text('{"type":"session.deleted","sessionID":"s"}\n{broken\n{"type":"session.idle","sessionID":"t"}\n')
+    life = lifecycle.Lifecycle(spark, p, f"file://{tmp_path}/latch")
+    q = life.serve(str(tmp_path / "in"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert q.exception() is None and [r.scope for r in p.store.read().collect()] == ["t"] and life.healthy()
+    events = spark.createDataFrame([('{"type":"session.deleted","sessionID":"t"}',)], "value string")
+    p.store.wait = 0.1
+    with p.store.lock(), pytest.raises(lifecycle.Unhealthy):
+        life.apply(events)
+    with pytest.raises(lifecycle.Unhealthy):
+        life.apply(events)
+    life.clear()
+    life.apply(events)
+    assert p.store.read().count() == 0
+
+
+def test_sidecar_and_sql_functions(spark):
+    got = plugins.call([sys.executable, "-m", "spanveil.operators.sidecar"], {"method": "judge", "input": "x", "entities": [{"kind": "email", "value": "a@mail5.example.com"}, {"kind": "api_key", "value": "k"}, {"kind": "phone", "value": "1"}]})
+    assert [j["label"] for j in plugins.check_judgments(3, got)] == ["test", None, "personal"]
+    with pytest.raises(plugins.PluginError):
+        plugins.call([sys.executable, "-m", "spanveil.operators.sidecar"], {"method": "plan"})
+    sql.register(spark)
+    r = spark.sql("SELECT spanveil_mask('a@b.org'), spanveil_generalize('email'), spanveil_generalize('a b'), spanveil_is_secret_kind('API_KEY'), spanveil_is_placeholder(spanveil_redacted()), spanveil_luhn_valid('4111-1111-1111-1112')").first()
+    assert tuple(r) == ("***.org", "__DO_PRIVATE_EMAIL__", None, True, True, False)
