@@ -297,3 +297,15 @@ def link_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedd
     got = rows.select("id", "k").join(named, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component"))
     return got.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+#: DuckDB for link_vectors() of ``embeddings`` (ids without nulls or repeats) with the default cosine: all pairs, and labels that go along the links.
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS len FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) >= 0.95 * a.len * b.len),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+comp AS (SELECT a, min(b) AS least FROM reach GROUP BY a), many AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, coalesce(many.n, 0) AS n_links, least(v.vec_id, coalesce(comp.least, v.vec_id)) AS component_id, v.vec_id <= coalesce(comp.least, v.vec_id) AS kept
+FROM v LEFT JOIN comp ON comp.a = v.vec_id LEFT JOIN many ON many.a = v.vec_id
+"""

@@ -81,4 +81,4 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_simhash, op4_byte_bpe, op5_quality, op6_embedding_dedup, op7_suffix_dedup, op8_mix_sources, op9_token_counts, op10_media_columns)}
 
-SQL: dict[str, str] = {"op2_chat_formatting": chat_format.SQL, "op8_mix_sources": mix.SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": chat_format.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op8_mix_sources": mix.SQL, "op9_token_counts": token_counts.sql(_tokenizer()[0])}

@@ -394,3 +394,16 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     from .common import out_schema
 
     return got.mapInArrow(run, out_schema(got.drop(text, "__spans", "__copies"), new))
+
+
+#: DuckDB for remove_repeats() of ``documents`` with the default length: every 400-byte string by its MD5.
+SQL = """
+WITH b AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM b WHERE n >= 400)),
+hit AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) d USING (m)),
+run AS (SELECT r, i, count(*) FILTER (step IS NULL OR step > 400) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM run GROUP BY r, k),
+kept AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS before FROM span),
+built AS (SELECT b.r, CAST(sum(e - s) AS BIGINT) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS h FROM kept JOIN b ON b.r = kept.r GROUP BY b.r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(built.h, b.h))) AS kept_sha256, n - coalesce(gone, 0) AS kept_bytes FROM b LEFT JOIN built ON built.r = b.r
+"""
