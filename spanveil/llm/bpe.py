@@ -13,14 +13,14 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
-from itertools import chain
+from struct import pack
 
 from pyspark.sql import DataFrame
 
 from .common import out_schema, put, release
 
 #: Characters that go to the library at a time; only memory depends on it (a longer text goes alone).
-CHUNK = 400_000
+CHUNK = 200_000
 
 
 @cache
@@ -76,7 +76,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 class Pieces(dict):
-    """Chunk of text -> (its ids, their decimals joined by spaces, the decoded bytes), each chunk encoded once.
+    """Chunk of text -> (its ids as packed 32-bit integers, or their decimals joined by spaces; the decoded bytes), each chunk encoded once.
 
     A single space between two characters that aren't white space always starts a match of the pattern, and a
     line feed between two such is always a match of its own; so texts are cut there and chunks repeat.  Only
@@ -84,13 +84,13 @@ class Pieces(dict):
     """
 
     #: Chunks that are remembered at most; then all are forgotten, which changes no result.
-    REMEMBER = 300_000
+    REMEMBER = 150_000
     _near = re.compile(r"\s\s|^\s|\s$")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, own: Codec):
+    def __init__(self, own: Codec, decimals: bool):
         super().__init__()
-        self.own = own
+        self.own, self.decimals = own, decimals
 
     def keys_of(self, text: str) -> list[str]:
         if self._near.search(text):
@@ -107,14 +107,14 @@ class Pieces(dict):
         for part in _chunks(new):
             for k, e in zip(part, self.own.encode(part), strict=True):
                 ids = e.ids
-                self[k] = ids, " ".join(map(str, ids)), self.own.decode(ids)
+                self[k] = (" ".join(map(str, ids)) if self.decimals else pack(f"<{len(ids)}i", *ids)), self.own.decode(ids)
         return keys
 
 
 @contextmanager
-def pieces(path: str, pattern: str) -> Iterator[Pieces]:
+def pieces(path: str, pattern: str, decimals: bool = False) -> Iterator[Pieces]:
     """Chunks that one task remembers; at its end the worker, which goes on to other tasks, gives their memory back."""
-    known = Pieces(codec(path, pattern))
+    known = Pieces(codec(path, pattern), decimals)
     try:
         yield known
     finally:
@@ -143,6 +143,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
     new = {"ids": "array<int>"} | ({"offsets": "array<struct<start:int,end:int>>"} if offsets else {})
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         own = codec(path, pattern)
@@ -152,7 +153,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
                 ids, spans = [], []
                 for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
                     if cut and not offsets:
-                        ids += [list(chain.from_iterable(known[k][0] for k in keys)) for keys in known.learn(part)]
+                        ids += [np.frombuffer(b"".join([known[k][0] for k in keys]), np.int32) for keys in known.learn(part)]
                         continue
                     for e in own.encode(part, offsets):
                         ids.append(e.ids)
@@ -191,13 +192,14 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
         import pyarrow as pa
 
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        with pieces(path, pattern) as known:
+        with pieces(path, pattern, decimals=True) as known:
             for batch in batches:
                 rows = []
                 for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
                     for keys in known.learn(part):
                         got = list(map(known.__getitem__, keys))
-                        rows.append((sum([len(g[0]) for g in got]), sha(" ".join([g[1] for g in got]).encode()), sha(b"".join([g[2] for g in got]))))
+                        ids = " ".join([g[0] for g in got])
+                        rows.append((ids.count(" ") + bool(ids), sha(ids.encode()), sha(b"".join([g[1] for g in got]))))
                 rest = batch.select([n for n in batch.schema.names if n != text])
                 n, a, b = list(zip(*rows, strict=True)) or [(), (), ()]
                 yield put(rest, {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
@@ -219,9 +221,9 @@ def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text") -
                 for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
                     for t, keys in zip(part, known.learn(part), strict=True):
                         got = list(map(known.__getitem__, keys))
-                        flat.append(np.fromiter(chain.from_iterable(g[0] for g in got), np.int32))
+                        flat.append(np.frombuffer(b"".join([g[0] for g in got]), np.int32))
                         ends.append(ends[-1] + len(flat[-1]))
-                        ok.append(b"".join([g[2] for g in got]) == t.encode())
+                        ok.append(b"".join([g[1] for g in got]) == t.encode())
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.empty(0, np.int32)])))
                 rest = batch.select([n for n in batch.schema.names if n != text])
                 yield put(rest, {"n_tokens": pa.array(np.diff(ends)), "ids": ids, "decoded_ok": pa.array(ok, pa.bool_())})

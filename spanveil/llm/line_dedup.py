@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
-from .common import word_count
+from .common import release, word_count
 
 SPANS = "spans array<struct<start:int,end:int>>"
 #: Of the hashes of runs; runs of equal hashes by chance cost an alignment, no more.
@@ -196,6 +196,7 @@ def _align(batches: Iterator, min_words: int) -> Iterator:
                 keys.append(k.as_py())
                 spans.append([{"start": a, "end": b} for a, b in got])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, kind)], names=["key", "spans"])
+    release()
 
 
 def _still_there(batches: Iterator, min_words: int) -> Iterator:

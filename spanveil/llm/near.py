@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import written
 from . import simhash
-from .common import out_schema, put
+from .common import out_schema, put, release
 from .components import components
 
 #: The least similarity, as a fraction of whole numbers.
@@ -51,6 +51,7 @@ def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(b, 7) for b in raw], np.uint64).view(np.int64)
             cols = [pa.array(raw, pa.binary()), pa.array(node, pa.int64()), pa.array([len(h) for h in got], pa.int64()), *(pa.array(bits[:, i], pa.int64()) for i in range(WORDS))]
             yield put(batch.select([c for c in batch.schema.names if c != text]), dict(zip(new, cols, strict=True)))
+        release()
 
     return df.mapInArrow(run, out_schema(df.drop(text), new))
 
@@ -128,6 +129,8 @@ def links(sets: DataFrame) -> DataFrame:
                 ids.append(node)
                 members.append(np.frombuffer(v.as_py(), np.uint64))
         yield from close()
+        members.clear()
+        release()
 
     return written(rows.mapInArrow(run, "a long, b long"), "similar")[0]
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import out_schema, put
+from .common import out_schema, put, release
 
 #: Labelled rows that training uses at most (chosen by hash of the id), and preference pairs drawn from them.
 TRAIN_ROWS = 6000
@@ -138,5 +138,6 @@ def score(df: DataFrame, ranker: Ranker, text: str = "text", keep_text: bool = T
             x = np.array([features(v.as_py()) for v in batch.column(text)]).reshape(-1, N_FEATURES)
             rest = batch if keep_text else batch.select([n for n in batch.schema.names if n != text])
             yield put(rest, {"score": pa.array(ranker.score(x), pa.float64())})
+        release()
 
     return df.mapInArrow(run, out_schema(df if keep_text else df.drop(text), new))
