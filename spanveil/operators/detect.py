@@ -17,8 +17,7 @@ def _none() -> Column:
 
 def _matches(text: Column, spec: Spec, ord_: int, low: Column, digit: Column) -> Column:
     """The pattern's matches as entities; offsets in bytes, cp_ ones in characters, both half-open."""
-    p = F.lit("(?U)" + spec.pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, "(?U)" + spec.pattern, -1)
+    found, gaps = F.regexp_extract_all(text, F.lit(spec.java), F.lit(0)), F.split(text, spec.java, -1)
     zero = F.expr(f"named_struct('b', 0, 'c', 0, 'out', cast(array() as {ENTITY}))")
 
     def step(acc: Column, pair: Column) -> Column:
@@ -34,7 +33,7 @@ def _matches(text: Column, spec: Spec, ord_: int, low: Column, digit: Column) ->
         guard = F.contains(low, F.lit(g)) if guard is None else guard | F.contains(low, F.lit(g))
     if spec.digit:
         guard = digit if guard is None else digit & guard
-    there = text.rlike("(?U)" + spec.pattern)
+    there = text.rlike(spec.java)
     return F.coalesce(F.when(there if guard is None else guard & there, got), _none())
 
 
