@@ -53,11 +53,32 @@ def checksum_ok(e: Column) -> Column:
     )
 
 
-def resolve_overlaps(entities: Column) -> Column:
-    """Longest first, ties as reported (ord, then place); what overlaps a kept one goes; touching is fine; sorted by (start, end)."""
+def _longest_first(entities: Column) -> Column:
+    """Longest first, ties as reported (ord, then place); what overlaps a kept one goes; sorted by (start, end)."""
     order = lambda a, b: F.when(a["end"] - a["start"] != b["end"] - b["start"], (b["end"] - b["start"]) - (a["end"] - a["start"])).when(a["ord"] != b["ord"], a["ord"] - b["ord"]).otherwise(a["start"] - b["start"])
     kept = F.aggregate(F.array_sort(entities, order), _none(), lambda acc, e: F.when(F.exists(acc, lambda k: (e["start"] < k["end"]) & (k["start"] < e["end"])), acc).otherwise(F.concat(acc, F.array(e))))
-    return F.array_sort(kept, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]))
+    return F.array_sort(kept, _by_place)
+
+
+def _by_place(a: Column, b: Column) -> Column:
+    return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
+
+
+def resolve_overlaps(entities: Column) -> Column:
+    """Longest first, ties as reported (ord, then place); what overlaps a kept one goes; touching is fine; sorted by (start, end).
+
+    Entities are taken by place, and those that hang together are settled among themselves, so that a text with
+    many entities apart isn't compared pair by pair.
+    """
+    settled = lambda group: F.when(F.size(group) <= 1, group).otherwise(_longest_first(group))
+    zero = F.struct(_none().alias("out"), _none().alias("group"), F.lit(0).alias("end"))
+
+    def step(acc: Column, e: Column) -> Column:
+        more = F.struct(acc["out"].alias("out"), F.concat(acc["group"], F.array(e)).alias("group"), F.greatest(acc["end"], e["end"]).alias("end"))
+        new = F.struct(F.concat(acc["out"], settled(acc["group"])).alias("out"), F.array(e).alias("group"), e["end"].alias("end"))
+        return F.when(e["start"] < acc["end"], more).otherwise(new)
+
+    return F.aggregate(F.array_sort(entities, _by_place), zero, step, lambda acc: F.concat(acc["out"], settled(acc["group"])))
 
 
 def hybrid_merge(primary: Column, secondary: Column) -> Column:

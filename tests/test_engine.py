@@ -100,6 +100,16 @@ def test_overlaps(spark):
     assert kept([(0, 3), (1, 9)]) == [(1, 9)]
     assert kept([(2, 5), (0, 3)]) == [(2, 5)]
     assert kept([]) == []
+    import random
+
+    r = random.Random(7)
+    for _ in range(12):
+        spans = [(a, a + r.randrange(1, 12)) for a in (r.randrange(90) for _ in range(r.randrange(1, 25)))]
+        want: list = []
+        for a, b, _ in sorted(((a, b, i) for i, (a, b) in enumerate(spans)), key=lambda x: (x[0] - x[1], x[2])):
+            if all(b <= c or d <= a for c, d in want):
+                want.append((a, b))
+        assert kept(spans) == sorted(want)
 
 
 def test_judge(spark):
