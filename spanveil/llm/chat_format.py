@@ -6,7 +6,8 @@ the conversation's leading system turn, repeats the turns that lie within the la
 stretch (masked), and ends with its own turns, whose assistant texts are the targets.  A turn that crosses a cut
 and is longer than ``history`` gets a window of its own.  So no window is above the budget unless one turn and
 the system turn together are.  Prefix sums are taken in two levels (blocks of turn numbers within a
-conversation), windows have a bounded number of turns, and no step holds a whole conversation.
+conversation), windows have a bounded number of turns, and no step of format_chats() holds a whole conversation; read_back()
+gathers each, since its digests are of whole ones.
 
 Control strings inside texts are escaped reversibly: ``~`` becomes ``~0``, and the first character of a control
 string ``~1`` for ``[`` and ``~2`` for ``<`` (line feeds of roles: ``~3``).

@@ -35,6 +35,12 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     for r in got:
         t = r.text or ""
         assert r.ids == tk.encode_ordinary(t) and r.decoded_text == t and len(r.offsets) == len(r.ids)
+        at = 0
+        for i, o in zip(r.ids, r.offsets, strict=True):  # a token's bytes lie in the characters that its offsets name, and tokens follow each other
+            token = tk.decode_single_token_bytes(i)
+            assert o.start < o.end and token in t[o.start : o.end].encode() and len(t[: o.start].encode()) <= at < len(t[: o.end].encode())
+            at += len(token)
+        assert at == len(t.encode())
     assert sorted(map(str, (r.ids for r in bpe.encode(docs(spark, odd_rows()), RANKS, P.PATTERN).collect()))) == sorted(str(r.ids) for r in got)
     assert bpe.round_trip(docs(spark, []), RANKS, P.PATTERN).count() == 0
 
