@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Arrow batches between the JVM and Python workers hold no more than this, so that long texts cost little memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -48,7 +48,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # row groups of 32 MB: a task holds one in memory
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
