@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 
 
+#: A worker is one core, and gives memory back when a task has freed it.
+WORKERS = {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did (a shared or equal path on every node), and bounds their batches."""
+    """Lets Python workers import this package from where the driver did (a shared or equal path on every node), and bounds their batches and memory."""
     for k, v in BATCH.items():
         spark.conf.set(k, v)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
+    for k, v in WORKERS.items():
+        env.setdefault(k, v)
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
