@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import out_schema, put, release
 
 #: Characters that go to the library at a time; only memory depends on it (a longer text goes alone).
-CHUNK = 200_000
+CHUNK = 100_000
 
 
 @cache
@@ -84,7 +84,7 @@ class Pieces(dict):
     """
 
     #: Chunks that are remembered at most; then all are forgotten, which changes no result.
-    REMEMBER = 150_000
+    REMEMBER = 100_000
     _near = re.compile(r"\s\s|^\s|\s$")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
