@@ -191,6 +191,22 @@ def test_simhash_estimates_all_thresholds():
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {x.node: x.root for x in components(e).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    r = random.Random(3)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)]
+    up = {i: i for p in pairs for i in p if p[0] != p[1]}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame([*pairs, *pairs[:9], (None, 1)], "a long, b long")).collect()
+    assert sorted((x.node, x.root) for x in got) == sorted((i, root(i)) for i in up)
+    assert components(e.limit(0)).count() == 0
 
 
 def test_embeddings_equal_brute_force(spark):
