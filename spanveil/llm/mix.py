@@ -75,7 +75,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     row = F.struct("h", "id", "size")
     ends = queued.select("skey").distinct() if last is False else items.where(last).groupBy("skey").agg(*[F.max(F.when(F.col("epoch") == e, row)).alias(f"end{e}") for e in range(max_repeats)])
     # of each source's queue, the last document taken at each turn
-    goals = goals.join(ends, "skey", "left")
+    goals, _ = written(goals.join(ends, "skey", "left"), "ends")  # a table of known size, so that documents don't move for it
     turns = F.lit(0) if last is False else sum((F.when(F.coalesce(row <= F.col(f"end{e}"), F.lit(False)), 1).otherwise(0) for e in range(max_repeats)), F.lit(0))
     copies = F.when(F.col("target") > 0, turns).otherwise(1)
     new = {doc_id, "size", "source_size", "target", "copies", "taken"}
