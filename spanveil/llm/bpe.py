@@ -83,14 +83,14 @@ class Pieces(dict):
     patterns that take at most one leading space into a match allow it (others: ``cut=False`` in encode()).
     """
 
-    #: Chunks that are remembered at most; then all are forgotten, which changes no result.
-    REMEMBER = 100_000
+    #: Chunks that are remembered at most; then all are forgotten, which changes no result. A task takes some 0.6 KB for each.
+    REMEMBER = 300_000
     _near = re.compile(r"\s\s|^\s|\s$")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, own: Codec, decimals: bool):
+    def __init__(self, own: Codec, decimals: bool, remember: int):
         super().__init__()
-        self.own, self.decimals = own, decimals
+        self.own, self.decimals, self.remember = own, decimals, remember
 
     def keys_of(self, text: str) -> list[str]:
         if self._near.search(text):
@@ -100,7 +100,7 @@ class Pieces(dict):
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text, all of them known from now on."""
-        if len(self) > self.REMEMBER:
+        if len(self) > self.remember:
             self.clear()
         keys = [self.keys_of(t) if t else [] for t in texts]
         new = list({k for ks in keys for k in ks if k not in self})
@@ -112,9 +112,9 @@ class Pieces(dict):
 
 
 @contextmanager
-def pieces(path: str, pattern: str, decimals: bool = False) -> Iterator[Pieces]:
+def pieces(path: str, pattern: str, decimals: bool = False, remember: int = Pieces.REMEMBER) -> Iterator[Pieces]:
     """Chunks that one task remembers; at its end the worker, which goes on to other tasks, gives their memory back."""
-    known = Pieces(codec(path, pattern), decimals)
+    known = Pieces(codec(path, pattern), decimals, remember)
     try:
         yield known
     finally:
@@ -207,15 +207,15 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     return df.mapInArrow(run, out_schema(df.drop(text), new))
 
 
-def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` without its text, with n_tokens long, ids array<int> and decoded_ok boolean (whether the ids decode to the text). Cases as in encode()."""
+def encode_checked(df: DataFrame, path: str, pattern: str, text: str = "text", remember: int = Pieces.REMEMBER // 3) -> DataFrame:
+    """``df`` without its text, with n_tokens long, ids array<int> and decoded_ok boolean (whether the ids decode to the text). ``remember``: chunks that a task remembers; only speed and memory depend on it. Cases as in encode()."""
     new = {"n_tokens": "long", "ids": "array<int>", "decoded_ok": "boolean"}
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        with pieces(path, pattern) as known:
+        with pieces(path, pattern, remember=remember) as known:
             for batch in batches:
                 flat, ends, ok = [], [0], []
                 for part in _chunks([v.as_py() or "" for v in batch.column(text)]):
