@@ -15,9 +15,10 @@ def _none() -> Column:
     return F.expr(f"cast(array() as {ENTITY})")
 
 
-def _matches(text: Column, spec: Spec, ord_: int, low: Column, digit: Column) -> Column:
+def _matches(text: Column, spec: Spec, ord_: int, low: Column, digit: Column, ascii_words: bool) -> Column:
     """The pattern's matches as entities; offsets in bytes, cp_ ones in characters, both half-open."""
-    found, gaps = F.regexp_extract_all(text, F.lit(spec.java), F.lit(0)), F.split(text, spec.java, -1)
+    java = spec.java_ascii if ascii_words else spec.java
+    found, gaps = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
     zero = F.expr(f"named_struct('b', 0, 'c', 0, 'out', cast(array() as {ENTITY}))")
 
     def step(acc: Column, pair: Column) -> Column:
@@ -33,16 +34,19 @@ def _matches(text: Column, spec: Spec, ord_: int, low: Column, digit: Column) ->
         guard = F.contains(low, F.lit(g)) if guard is None else guard | F.contains(low, F.lit(g))
     if spec.digit:
         guard = digit if guard is None else digit & guard
-    there = text.rlike(spec.java)
+    there = text.rlike(java)
     return F.coalesce(F.when(there if guard is None else guard & there, got), _none())
 
 
-def candidates(text: str | Column, low: Column | None = None, digit: Column | None = None) -> Column:
-    """All kinds' matches before checksums and overlaps. Null text: empty. low, digit: columns that hold what guards look at."""
+def candidates(text: str | Column, low: Column | None = None, digit: Column | None = None, ascii_words: bool = False) -> Column:
+    """All kinds' matches before checksums and overlaps. Null text: empty. low, digit: columns that hold what guards look at.
+
+    Words, digits and white space are Unicode's, as the reference has them, or with ``ascii_words`` those of RE2, as SQL has them.
+    """
     text = F.col(text) if isinstance(text, str) else text
     low = F.lower(text) if low is None else low
     digit = text.rlike(r"(?U)\d") if digit is None else digit
-    return F.concat(*[_matches(text, s, i, low, digit) for i, s in enumerate(SPECS)])
+    return F.concat(*[_matches(text, s, i, low, digit, ascii_words) for i, s in enumerate(SPECS)])
 
 
 def checksum_ok(e: Column) -> Column:
@@ -93,14 +97,14 @@ def hybrid_merge(primary: Column, secondary: Column) -> Column:
     return F.concat(primary, F.aggregate(secondary, _none(), step))
 
 
-def detect(df: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
+def detect(df: DataFrame, text: str = "text", out: str = "entities", ascii_words: bool = False) -> DataFrame:
     """``df`` with an array of entities: matches that pass their checksum, without overlaps. Null text: none."""
     # a column of its own for the candidates, so that they are found once
-    got = df.withColumns({"__low": F.lower(text), "__digit": F.col(text).rlike(r"(?U)\d")}).withColumn("__candidates", candidates(text, F.col("__low"), F.col("__digit")))
+    got = df.withColumns({"__low": F.lower(text), "__digit": F.col(text).rlike(r"(?U)\d")}).withColumn("__candidates", candidates(text, F.col("__low"), F.col("__digit"), ascii_words))
     got = got.withColumn(out, resolve_overlaps(F.filter("__candidates", checksum_ok)))
     return got.drop("__candidates", "__low", "__digit")
 
 
-def inspect(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def inspect(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), ascii_words: bool = False) -> DataFrame:
     """One row per entity: the keys, kind, start, end, confidence; never the value."""
-    return detect(df.select(*keys, text), text).select(*keys, F.explode("entities").alias("e")).select(*keys, "e.kind", "e.start", "e.end", F.round("e.confidence", 2).alias("confidence"))
+    return detect(df.select(*keys, text), text, ascii_words=ascii_words).select(*keys, F.explode("entities").alias("e")).select(*keys, "e.kind", "e.start", "e.end", F.round("e.confidence", 2).alias("confidence"))

@@ -22,12 +22,12 @@ def decide(entity: Column, ctx: dict[str, Column], matrix: policy.Matrix | None,
     return F.struct(*[entity[c].alias(c) for c in ("kind", "start", "end", "value", "confidence", "cp_start", "cp_end")], label.alias("label"), *[d[c].alias(c) for c in ("action", "reason", "matched_rule", "used_default")])
 
 
-def plan(df: DataFrame, *, text: str = "text", context: Contexts | None = None, judged: bool = False, matrix: policy.Matrix | None = None) -> DataFrame:
-    """``df`` with plan: array of entities with label, action, reason, matched_rule, used_default."""
+def plan(df: DataFrame, *, text: str = "text", context: Contexts | None = None, judged: bool = False, matrix: policy.Matrix | None = None, ascii_words: bool = False) -> DataFrame:
+    """``df`` with plan: array of entities with label, action, reason, matched_rule, used_default. ascii_words: as in detect.candidates()."""
     ctx = columns_of(context)
     label = lambda e: judge.label(e["kind"], e["value"]) if judged else F.lit(None).cast("string")
     one = lambda e: decide(e, ctx, matrix, label(e), F.lit(judge.CONFIDENCE))
-    return detect.detect(df, text).withColumn("plan", F.transform("entities", one)).drop("entities")
+    return detect.detect(df, text, ascii_words=ascii_words).withColumn("plan", F.transform("entities", one)).drop("entities")
 
 
 def blocked(plan: str = "plan") -> Column:

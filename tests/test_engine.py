@@ -26,6 +26,26 @@ def test_kinds_at_exact_spans(spark):
     assert kinds(spark, text) == sorted([("email", "a.b@mail.org"), ("credit_card", "4111 1111 1111 1111"), ("api_key", key), ("ssn", "123-45-6789"), ("ipv4", "10.0.0.1"), ("ipv6", "2001:db8::1")])
 
 
+def test_pages_with_other_letters_and_spaces_as_in_sql(spark, tmp_path):
+    """Word boundaries and white space beside letters, digits and spaces that aren't ASCII, against the query's SQL."""
+    import random
+
+    import duckdb
+
+    from spanveil.plans.queries import QUERIES, SQL
+
+    r = random.Random(4)
+    values = ["token = &quot;592951daa87bc4fa6f2</h1><p><b>Ñraboó, lo", "4111 1111 1111 1111", "123-45-6789", "a.b@mail.org", "10.0.0.1", "2001:db8::1", "bearer abcdefgh12", "pa\u017f\u017fword:\u00a0abcdefgh1", "to\u212aen=abcd\x0befgh", "sk-" + "a1" * 10, "GB82 WEST 1234 5698 7654 32", "+49 151 2345678"]
+    glue = ["", " ", "é", "ó", "\u00a0", "\x0b", "\u2003", "\u0663", "_", "<b>", "界", "\u0301"]
+    texts = values[:1] + ["".join(r.choice(glue) + r.choice([*values, "é", "word"]) for _ in range(r.randrange(1, 5))) + r.choice(glue) for _ in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(x) for x in QUERIES["inspect_pages"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted((*x[:4], round(x[4], 2)) for x in con.execute(SQL["inspect_pages"]).fetchall())
+    assert got == want and len({k for _, k, *_ in got}) >= 8 and got[0][:4] == (0, "generic_secret", 0, len(texts[0].encode()) - 6)
+
+
 def test_all_kinds_of_generated_values(spark):
     import re
 
