@@ -139,7 +139,7 @@ class Range(InputPartition):
 
 
 class MediaArchive(DataSource):
-    """Options: path (URI of a folder of zip archives), rangebytes (8388608), attempts (3), batchbytes (4194304)."""
+    """Options: path (URI of a folder of zip archives), rangebytes (8388608), attempts (3), batchbytes (4194304), onerror (row: what can't be read is a row with its error; fail: it ends the job)."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,6 +158,10 @@ class Reader(DataSourceReader):
         self.range = int(options.get("rangebytes", 8 << 20))
         self.attempts = int(options.get("attempts", 3))
         self.batch = int(options.get("batchbytes", 4 << 20))
+        self.fail = options.get("onerror", "row").lower()
+        if self.fail not in ("row", "fail"):
+            raise ValueError(f"onerror is row or fail, not {self.fail}")
+        self.fail = self.fail == "fail"
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
@@ -166,8 +170,8 @@ class Reader(DataSourceReader):
         found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(root)) if f.path.endswith(".zip"))
         return [Range(p, a, min(n, a + self.range)) for p, n in found for a in range(0, max(n, 1), self.range)]
 
-    def again(self, what) -> tuple:
-        """(what(), None), tried ``attempts`` times, or (None, the last error)."""
+    def again(self, what, name: str) -> tuple:
+        """(what(), None), tried ``attempts`` times, or (None, the last error); with onerror=fail that is raised, with the name of what was read."""
         error = None
         for attempt in range(self.attempts):
             try:
@@ -175,10 +179,14 @@ class Reader(DataSourceReader):
             except (OSError, ValueError, struct.error, zipfile.BadZipFile) as e:
                 error = f"{type(e).__name__}: {e}"[:200]
                 time.sleep(0.05 * 2**attempt if attempt + 1 < self.attempts else 0)
+        if self.fail:
+            raise OSError(f"{name}: {error}")
         return None, error
 
     def directory(self, system, path: str) -> list:
         with system.open_input_file(path) as f:
+            if f.size() < 22:  # an end record; seeking before the start is another kind of error
+                raise zipfile.BadZipFile("File is not a zip file")
             return zipfile.ZipFile(f).infolist()
 
     def member(self, system, path: str, info) -> bytes:
@@ -199,7 +207,7 @@ class Reader(DataSourceReader):
         if part is None:  # a folder without archives
             return
         system, _ = _fs(self.folder)
-        infos, error = self.again(lambda: self.directory(system, part.path))
+        infos, error = self.again(lambda: self.directory(system, part.path), part.path)
         rows, size = [], 0
         kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         names = ["key", "archive", "offset", "media", "error"]
@@ -207,10 +215,11 @@ class Reader(DataSourceReader):
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        if error is not None and part.start == 0:  # the archive as a whole, once
+        # an archive that is none is reported once, by its first range; a read that failed by each range that it cost its members
+        if error is not None and (part.start == 0 or not error.startswith("BadZipFile")):
             rows.append((None, os.path.basename(part.path), None, None, error))
         for info in (i for i in infos or [] if part.start <= i.header_offset < part.end):
-            data, error = self.again(lambda info=info: self.member(system, part.path, info))
+            data, error = self.again(lambda info=info: self.member(system, part.path, info), f"{part.path}, {info.filename}")
             key = info.filename[:-4].partition("/")[2] if "/" in info.filename else None
             rows.append((key, os.path.basename(part.path), info.header_offset, data, error))
             size += len(data or b"")
@@ -224,7 +233,8 @@ class Reader(DataSourceReader):
 def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     """key string, archive string, offset long, media binary (null if unreadable), error string (null if read).
 
-    A folder without archives gives no rows; an archive whose directory can't be read gives one row with its error.
+    A folder without archives gives no rows; an archive whose directory can't be read gives a row with its error (one
+    a range where the file can't be read).  With onerror="fail" nothing unreadable becomes a row: the job ends with the error.
     """
     spark.dataSource.register(MediaArchive)
     reader = spark.read.format("media_archive")
@@ -233,29 +243,34 @@ def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame
     return reader.load(folder)
 
 
-def describe(members: DataFrame, media: str = "media") -> DataFrame:
-    """``members`` with, in place of the media: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+def describe(members: DataFrame, media: str = "media", *, fail: bool = False) -> DataFrame:
+    """``members`` with, in place of the media: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and error.
 
-    All come from the stored bytes; a null medium or one that isn't such an image has nulls.
+    All come from the stored bytes; a null medium or one that isn't such an image has nulls, and says in error why (what
+    ``members`` has there stays).  With ``fail`` such a medium ends the job.
     """
     from .common import out_schema, put
 
-    new = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    new = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "error": "string"}
 
-    def one(m: bytes | None) -> tuple:
+    def one(m: bytes | None, error: str | None) -> tuple:
         try:
             p = from_png(m) if m is not None else None
-        except (ValueError, zlib.error, struct.error):
-            p = None
+            error = error or (None if m is not None else "no medium")
+        except (ValueError, zlib.error, struct.error) as e:
+            p, error = None, error or f"{type(e).__name__}: {e}"[:200]
+        if fail and error:
+            raise ValueError(error)
         if p is None:
-            return (None,) * 4 + ((None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())) + (None,)
-        return len(p.rstrip(b"\xff")), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)
+            return (None,) * 4 + ((None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())) + (None, error)
+        return len(p.rstrip(b"\xff")), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p), error
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [one(v.as_py()) for v in batch.column(media)]
+            errors = batch.column("error").to_pylist() if "error" in batch.schema.names else [None] * len(batch)
+            rows = [one(v.as_py(), e) for v, e in zip(batch.column(media), errors, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * len(new)
             rest = batch.select([n for n in batch.schema.names if n != media])
             yield put(rest, {k: pa.array(c, pa.int64() if t == "long" else pa.string()) for (k, t), c in zip(new.items(), cols, strict=True)})

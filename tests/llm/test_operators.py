@@ -295,6 +295,36 @@ def test_media_of_empty_parts_and_unreadable_archives(spark, tmp_path):
     assert [r.n_bytes for r in media.describe(media.read_archives(spark, some, attempts="1")).where("error is not null").collect()] == [None, None]
 
 
+def test_media_failures_are_no_results(spark, tmp_path, monkeypatch):
+    """What can't be read or isn't an image ends the query, or says so in its row."""
+    import zipfile
+
+    from spanveil.llm import queries
+
+    folder = tmp_path / "m"
+    media.write_archives(docs(spark, [(1, "a", "s")]), f"file://{folder}")
+    with zipfile.ZipFile(folder / "part-000099.zip", "w") as z:
+        z.writestr("0/7.png", b"no image")
+    got = {r.key: r for r in media.describe(media.read_archives(spark, f"file://{folder}")).collect()}
+    assert got["1"].error is None and got["7"].error.startswith("ValueError") and got["7"].payload_bytes is None and got["7"].media_bytes == 8
+
+    reader = media.Reader({"path": f"file://{folder}", "attempts": "1"})
+    monkeypatch.setattr(reader, "directory", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    lost = [b.to_pylist() for b in reader.read(media.Range(str(folder / "part-000099.zip"), 8, 16))]
+    assert [r["error"] for b in lost for r in b] == ["OSError: gone"]  # by a range that isn't the first
+
+    docs(spark, [(1, "a", "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    write = media.write_archives
+    for harm in (lambda p: p.write_bytes(b"no archive"), lambda p: p.write_bytes(p.read_bytes()[:60] + b"?" + p.read_bytes()[61:]), lambda p: (folder / "part-000099.zip").replace(p)):
+        def broken(df, to, harm=harm):
+            write(df, to)
+            harm(next(__import__("pathlib").Path(to.removeprefix("file://")).glob("*.zip")))
+
+        monkeypatch.setattr(media, "write_archives", broken)
+        with pytest.raises(Exception, match="BadZipFile|damaged member|not a PNG"):
+            queries.op10_media_columns(spark, str(tmp_path)).collect()
+
+
 def test_media_forms_read_by_hand(spark, tmp_path):
     """The stored image, its digest and the feature, against an own reading of the format and a plain loop."""
     folder = f"file://{tmp_path}/m"
