@@ -3,7 +3,10 @@
 Distinct vectors go to the nearest of a bounded number of pivots and there to blocks of bounded size.  Each block
 builds one cover tree over its unit vectors: nested levels with halving radii, every node with the largest
 distance to what lies below it.  Pairs of blocks, and then pairs of nodes, are left out where the triangle
-inequality rules out a pair within the threshold's chord; what remains is compared in double precision.  Trees are
+inequality rules out a pair within the threshold's chord.  Where a level has about as many pairs of children as of vectors
+(random vectors: every one is a child of the root) it rules nothing out that a plain comparison doesn't, and all vectors below are
+compared, first by some coordinates and the lengths of the rest, a bound of the cosine from above in single precision.
+What remains is compared in double precision.  Trees are
 files in the shared folder, which tasks read by path, so vectors are shuffled once.  A task returns, for each vector, how
 many it links to and a spanning forest of the links, never the pairs.
 """
@@ -14,6 +17,7 @@ import math
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,15 +30,17 @@ from .components import components
 BLOCK, PIVOTS, PIVOT_BYTES = 4096, 16_384, 32 << 20
 #: Numbers gathered at once where node pairs are expanded, and child pairs from which a product of matrices does it; only speed and memory depend on them.
 EXPAND, WIDE = 1 << 21, 1 << 12
-#: What rounding may add to a distance.
-SLACK = 1e-6
+#: Pairs of vectors to a pair of children up to which all vectors below are compared; only speed depends on it.
+FLAT = 8
+#: What rounding may add to a distance, and to a cosine in single precision.
+SLACK, SINGLE = 1e-6, 1e-5
 
 
 class CoverTree:
     """Nested cover tree over unit vectors ``x``; node arrays only, so that it goes over the wire as bytes."""
 
     def __init__(self, x: np.ndarray, leaf: float = 0.02):
-        self.x = x
+        self.x, self._low = x, None
         center, rho, kids, members = [], [], [], []
 
         def node(c: int, of: np.ndarray, d: np.ndarray) -> int:
@@ -44,11 +50,11 @@ class CoverTree:
             members.append(of)
             return len(center) - 1
 
-        def far(of: np.ndarray, c: int) -> np.ndarray:
-            return np.sqrt(np.maximum(0, 2 - 2 * (x[of] @ x[c])))
+        def far(own: np.ndarray, c: int) -> np.ndarray:
+            return np.sqrt(np.maximum(0, 2 - 2 * (own @ x[c])))
 
         every = np.arange(len(x), dtype=np.int32)
-        first = far(every, 0) if len(x) else np.empty(0)
+        first = far(x, 0) if len(x) else np.empty(0)
         todo = [(node(0, every, first), first, 1.0)] if len(x) else []
         while todo:
             at, d, r = todo.pop()
@@ -57,23 +63,48 @@ class CoverTree:
                 r /= 2
             if len(of) == 1 or r <= leaf:
                 continue
-            own, rest, c, dc = [], of, center[at], d
+            own, rest, xs, c, dc = [], of, x[of], center[at], d
             while len(rest):
                 near = dc <= r
                 near[rest == c] = True
                 child = node(c, rest[near], dc[near])
                 own.append(child)
-                if near.sum() > 1:
+                if (n := near.sum()) > 1:
                     todo.append((child, dc[near], r / 2))
-                rest = rest[~near]
+                after = slice(1, None) if n == 1 and near[0] else ~near  # the first one alone: no copy
+                rest, xs = rest[after], xs[after]
                 if len(rest):
                     c = int(rest[0])
-                    dc = far(rest, c)
+                    dc = far(xs, c)
             kids[at], members[at] = np.array(own, np.int32), np.empty(0, np.int32)
         self.center, self.rho, self.kids, self.members = np.array(center, np.int32), np.array(rho), kids, members
 
+        self.fan = len(kids[0]) if kids else 0  # the root's children
+        self.size = np.array([len(m) for m in members], np.int64)
+        for n in range(len(kids) - 1, -1, -1):  # children come after their node
+            if len(self.kids[n]):
+                self.size[n] = self.size[self.kids[n]].sum()
+
+    def under(self, node: int) -> np.ndarray:
+        """The vectors below a node."""
+        if len(self.x) == self.size[node]:
+            return np.arange(len(self.x), dtype=np.int32)
+        out, todo = [], [node]
+        while todo:
+            n = todo.pop()
+            out.append(self.members[n])
+            todo += self.kids[n].tolist()
+        return np.concatenate(out)
+
+    def low(self, k: int) -> np.ndarray:
+        """The vectors' first ``k`` coordinates and the length of the rest: their product is no less than the cosine."""
+        if self._low is None or self._low.shape[1] != k + 1:
+            own = self.x[:, :k]
+            self._low = np.column_stack([own, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", own, own)))]).astype(np.float32)
+        return self._low
+
     def dump(self) -> bytes:
-        parts = [np.array(self.x.shape, np.int64).tobytes(), self.x.tobytes(), self.center.tobytes(), self.rho.tobytes()]
+        parts = [np.array(self.x.shape, np.int64).tobytes(), self.x.tobytes(), self.center.tobytes(), self.rho.tobytes(), self.size.tobytes()]
         for group in (self.kids, self.members):
             parts += [np.array([len(g) for g in group], np.int32).tobytes(), np.concatenate([*group, np.empty(0, np.int32)]).astype(np.int32).tobytes()]
         return b"".join(struct.pack("<q", len(p)) + p for p in parts)
@@ -87,10 +118,25 @@ class CoverTree:
             at += 8 + n
         t = cls.__new__(cls)
         t.x = np.frombuffer(parts[1]).reshape(np.frombuffer(parts[0], np.int64))
-        t.center, t.rho = np.frombuffer(parts[2], np.int32), np.frombuffer(parts[3])
-        t.kids, t.members = (np.split(np.frombuffer(v, np.int32), np.cumsum(np.frombuffer(n, np.int32))[:-1]) for n, v in (parts[4:6], parts[6:8]))
+        t._low = None
+        t.center, t.rho, t.size = np.frombuffer(parts[2], np.int32), np.frombuffer(parts[3]), np.frombuffer(parts[4], np.int64)
+        t._lists = parts[5:7], parts[7:9]
+        t.fan = np.frombuffer(parts[5], np.int32)[0] if len(parts[5]) else 0
         return t
 
+    # the lists of a tree from bytes are cut when they are first looked at, which many pairs of blocks never do
+    @cached_property
+    def kids(self) -> list[np.ndarray]:
+        return self._cut(*self._lists[0])
+
+    @cached_property
+    def members(self) -> list[np.ndarray]:
+        return self._cut(*self._lists[1])
+
+    @staticmethod
+    def _cut(many: bytes, flat: bytes) -> list[np.ndarray]:
+        return np.split(np.frombuffer(flat, np.int32), np.cumsum(np.frombuffer(many, np.int32))[:-1])
+
 
 def _below(t: CoverTree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each node: where its children start in the list of all, how many, that list (a node without children is its own), and whether it has none, or none and one member."""
@@ -116,9 +162,36 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.
         ok = c >= cosine
         return i[ok], j[ok]
 
+    dim = a.x.shape[1]
+    some = min(dim, next(k for k in range(8, 8 * dim + 65, 8) if k - 5 * math.sqrt(k) >= (1 - cosine) * dim))  # so many that vectors at random have a bound under the threshold
+    least = cosine - max(SINGLE, 1.2e-7 * (some + 1))
+
+    def flat(i: np.ndarray, j: np.ndarray, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of some vectors; each pair once if both sides are the same."""
+        right = np.ascontiguousarray(b.low(some)[j].T)
+        for s in range(0, len(i), 512):
+            from_ = s if once else 0
+            c = a.low(some)[i[s : s + 512]] @ right[:, from_:]
+            if not c.size or c.max() < least:
+                continue
+            m, n = np.divmod(np.flatnonzero(c.ravel() >= least), c.shape[1])
+            if len(m) > c.size // 32:
+                whole = a.x[i[s : s + 512]] @ b.x[j[from_:]].T
+                m, n = np.nonzero(whole >= cosine - 1e-9)
+            if once:
+                m, n = m[m < n], n[m < n]
+            for t in range(0, len(m), most):
+                u, v = i[s + m[t : t + most]], j[from_ + n[t : t + most]]
+                found = exact(u, v, np.einsum("ij,ij->i", a.x[u], b.x[v]))
+                if len(found[0]):
+                    yield found
+
+    most = max(1, EXPAND // dim)
+    if a.size[0] * b.size[0] <= FLAT * max(1, int(a.fan)) * max(1, int(b.fan)):
+        yield from flat(a.under(0), b.under(0), same)
+        return
     at_a, n_a, kids_a, leaf_a, one_a = _below(a)
     at_b, n_b, kids_b, leaf_b, one_b = _below(b)
-    most = max(1, EXPAND // a.x.shape[1])
     todo = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
 
     def sift(i: np.ndarray, j: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,6 +219,9 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.
         ps, qs = ps[~ends], qs[~ends]
         wide = n_a[ps] * n_b[qs] > WIDE
         for p, q in zip(ps[wide].tolist(), qs[wide].tolist(), strict=True):
+            if a.size[p] * b.size[q] <= FLAT * n_a[p] * n_b[q]:
+                yield from flat(a.under(p), b.under(q), same and p == q)
+                continue
             rows_all, cols = kids_a[at_a[p] : at_a[p] + n_a[p]], kids_b[at_b[q] : at_b[q] + n_b[q]]
             xq, rq = b.x[b.center[cols]].T, b.rho[cols]
             for s in range(0, len(rows_all), 512):
@@ -259,7 +335,10 @@ def link_vectors(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedd
     apart = F.sqrt(F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     near = apart <= F.col("rho_a") + F.col("rho_b") + math.sqrt(max(0.0, 2 - 2 * cosine)) + 2 * SLACK
     pairs, _ = written(side("a").join(side("b"), "size").where((F.col("block_a") <= F.col("block_b")) & near).select("path_a", "path_b"), "blockpairs")
-    tasks = pairs.repartition(max(1, min(20_000, pairs.count())), "path_a", "path_b").sortWithinPartitions("path_a", "path_b")
+    # a task reads a block once and some others: about eight pairs of blocks, or fewer
+    many = blocks.count()
+    group = F.pmod(F.xxhash64("path_b"), F.lit(max(1, math.ceil(many / 8))))
+    tasks = pairs.repartition(max(1, min(20_000, pairs.count(), 2 * many * math.ceil(many / 8))), "path_a", group).sortWithinPartitions("path_a", "path_b")
 
     def load(path: str) -> tuple[np.ndarray, np.ndarray, CoverTree]:
         from pyarrow import fs

@@ -269,6 +269,23 @@ def test_loser_tree_merges_with_shared_prefixes():
     assert all(n == suffix_dedup.shared(a, b) for (n, b, _), a in zip(got[1:], want, strict=False))
 
 
+def test_random_vectors_are_compared_plainly(monkeypatch):
+    """Where a tree's level rules nothing out no node pair is expanded, and every kind of vectors has the pairs of all products."""
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    random_, near = unit(r.normal(size=(700, 64))), unit(r.normal(size=(9, 64))[r.integers(0, 9, 700)] + 0.2 * r.normal(size=(700, 64)) * r.random((700, 1)))
+    random_[350:500] = unit(random_[:150] + 0.03 * r.normal(size=(150, 64)))
+    below, expanded = embed_dedup._below, []
+    monkeypatch.setattr(embed_dedup, "_below", lambda t: expanded.append(1) or below(t))
+    for x, plain in ((random_, True), (near, False)):
+        trees = [embed_dedup.CoverTree.load(embed_dedup.CoverTree(y).dump()) for y in (x[:400], x[400:])]
+        for a, b in ((trees[0], trees[1]), (trees[0], trees[0])):
+            del expanded[:]
+            got = [(int(m), int(n)) for i, j in embed_dedup.close_pairs(a, b, 0.95) for m, n in zip(i, j, strict=True)]
+            want = {(m, n) for m, n in np.argwhere(a.x @ b.x.T >= 0.95).tolist() if a is not b or m < n}
+            assert len(got) == len(set(got)) and {(min(p), max(p)) if a is b else p for p in got} == want and want and bool(expanded) != plain
+
+
 def test_media_round_trip_and_damage(spark, tmp_path):
     folder = f"file://{tmp_path}/m"
     media.write_archives(docs(spark, odd_rows()), folder, key="doc_id")
