@@ -43,8 +43,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     ensure_importable(spark)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("md5"), F.xxhash64(*docs.columns).alias("row"))
-    sets, _ = written(near.sets_of(docs.select(order.alias("o"), "text")), "shingles")
-    stay = near.group(sets, "o").where(F.col("o").eqNullSafe(F.col("component_id")))
+    # shingles take twice the room of the texts, so they are made again for the few texts that others are near to
+    sets, _ = written(near.sets_of(docs.select(order.alias("o"), "text"), members=False), "fingerprints")
+    stay = near.group(sets, "o", near.sets_of(docs.select("text"), bits=False)).where(F.col("o").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.to_json("o").alias("__key")).distinct()
     return docs.withColumn("__key", F.to_json(order)).join(stay, "__key", "left_semi").drop_duplicates(["__key"]).select(*docs.columns)
 

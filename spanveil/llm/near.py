@@ -36,9 +36,13 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(simhash.hashes(text, shingle))
 
 
-def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """``df`` without its text, with members (binary, the shingles), node (long, a hash of them: equal sets are one node), n (their number) and w0, w1 and so on (their fingerprints); columns of these names are replaced."""
+def sets_of(df: DataFrame, text: str = "text", shingle: int = 5, *, members: bool = True, bits: bool = True) -> DataFrame:
+    """``df`` without its text, with members (binary, the shingles), node (long, a hash of them: equal sets are one node), n (their number) and w0, w1 and so on (their fingerprints); columns of these names are replaced.
+
+    Without ``members`` or ``bits``: without the shingles, which take more room than the text, or the fingerprints.
+    """
     new = {"members": "binary", "node": "long", "n": "long"} | {f"w{i}": "long" for i in range(WORDS)}
+    new = {k: v for k, v in new.items() if (members or k != "members") and (bits or k[0] != "w")}
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -46,11 +50,11 @@ def sets_of(df: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
 
         for batch in batches:
             got = [shingles(v.as_py(), shingle) for v in batch.column(text)]
-            bits = np.array([simhash.bits_of(h, WORDS) for h in got], np.uint64).reshape(-1, WORDS).view(np.int64)
+            words = np.array([simhash.bits_of(h, WORDS) for h in got if bits], np.uint64).reshape(-1, WORDS).view(np.int64)
             raw = [h.tobytes() for h in got]
             node = np.array([xxhash.xxh64_intdigest(b, 7) for b in raw], np.uint64).view(np.int64)
-            cols = [pa.array(raw, pa.binary()), pa.array(node, pa.int64()), pa.array([len(h) for h in got], pa.int64()), *(pa.array(bits[:, i], pa.int64()) for i in range(WORDS))]
-            yield put(batch.select([c for c in batch.schema.names if c != text]), dict(zip(new, cols, strict=True)))
+            cols = {"members": pa.array(raw if members else [], pa.binary()), "node": pa.array(node, pa.int64()), "n": pa.array([len(h) for h in got], pa.int64())} | {f"w{i}": pa.array(words[:, i], pa.int64()) for i in range(WORDS)}
+            yield put(batch.select([c for c in batch.schema.names if c != text]), {k: cols[k] for k in new})
         release()
 
     return df.mapInArrow(run, out_schema(df.drop(text), new))
@@ -94,8 +98,8 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): similar pairs of nodes that connect whatever the similar pairs connect within the clusters that bits make."""
+def links(sets: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(a, b): similar pairs of nodes that connect whatever the similar pairs connect within the clusters that bits make. members: (node, members) where ``sets`` hasn't them."""
     words = [f"w{i}" for i in range(WORDS)]
     nodes, _ = written(sets.drop("members").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", *words))), "nodes")
     clusters = components(simhash.links(nodes, MAX_BITS, tuple(words), ALL_BITS))
@@ -106,7 +110,7 @@ def links(sets: DataFrame) -> DataFrame:
     # a block meets every other one, and with that itself
     other = F.explode(F.when(F.col("k") == 1, F.array("x")).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("k") - 1), F.col("x"))))
     dealt = own.withColumn("y", other).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node")
-    met, _ = written(sets.select("node", "members").join(clusters.select("node"), "node", "left_semi").drop_duplicates(["node"]), "met")
+    met, _ = written((sets if members is None else members).select("node", "members").join(clusters.select("node"), "node", "left_semi").drop_duplicates(["node"]), "met")
     rows = dealt.join(met, "node").select("root", "i", "j", "node", "members").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def run(batches: Iterator) -> Iterator:
@@ -135,13 +139,13 @@ def links(sets: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "a long, b long"), "similar")[0]
 
 
-def group(sets: DataFrame, own: str = "doc_id") -> DataFrame:
-    """``sets`` without members, with component_id: the least ``own`` that is reachable by links, the row's own included.
+def group(sets: DataFrame, own: str = "doc_id", members: DataFrame | None = None) -> DataFrame:
+    """``sets`` (with members, or these by node beside them) without members, with component_id: the least ``own`` that is reachable by links, the row's own included.
 
     Equal sets are linked, the empty ones too. Rows with a null ``own`` take part but name no component (null where
     a component has no other); repeated rows come out each; an empty table gives an empty table.
     """
-    roots = components(links(sets))
+    roots = components(links(sets, members))
     rest = ["members", "component_id", "n", *(f"w{i}" for i in range(WORDS))]
     named = sets.drop(*rest).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named, _ = written(named, "roots")

@@ -27,6 +27,8 @@ from .components import components
 
 #: Fingerprints with one part value that a block holds at most, about, and how many of them the others meet in the first round; any numbers find the same links.
 BLOCK, FIRST = 4096, 16
+#: Probes a fingerprint and word for which parts are chosen, at most: each is a row of the shuffle, so that more of them would let the disk grow faster than the table; any number of parts finds the same links.
+PROBES = 64
 
 
 def hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -156,16 +158,16 @@ def group_bits(corr: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def cheapest_parts(n: int, max_bits: int) -> int:
-    """The number of parts for n fingerprints: few and wide ones cost probes (which are shuffled), many and narrow ones candidates."""
+    """The number of parts for n fingerprints: few and wide ones cost probes (which are shuffled, so no more than PROBES if possible), many and narrow ones candidates."""
 
-    def cost(m: int) -> float:
+    def cost(m: int) -> tuple[bool, float]:
         total = max_bits - m + 1
         probes = candidates = 0.0
         for i in range(m):
             w, t = 64 // m, total // m + (i < total % m)
             near = sum(math.comb(w, d) for d in range(t + 1))
             probes, candidates = probes + near, candidates + n * near / 2**w
-        return 100 * probes + candidates  # a probe is a row of the shuffle, a candidate one comparison of many at once
+        return probes > PROBES, 100 * probes + candidates  # a probe is a row of the shuffle, a candidate one comparison of many at once
 
     return min(range(2, max(2, max_bits + 1) + 1), key=cost) if max_bits else 2
 

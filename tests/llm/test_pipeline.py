@@ -1,4 +1,7 @@
+import math
+
 import corpus_pipeline as c
+import numpy as np
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +68,33 @@ def test_near_duplicates_are_exactly_those_of_similarity_08(spark):
     assert near.group(near.sets_of(docs.limit(0))).count() == 0
 
 
+def test_disk_of_near_duplicates_follows_the_table(spark, tmp_path):
+    """At any number of texts a fingerprint is shuffled a bounded number of times, and the stage writes no shingles but of texts in clusters."""
+    from spanveil.llm import near, simhash
+
+    def probes(m, max_bits):
+        total = max_bits - m + 1
+        return sum(math.comb(64 // m, d) for i in range(m) for d in range(total // m + (i < total % m) + 1))
+
+    for n in (10, 47_000, 236_000, 2_832_000, 14_000_000, 10**9):
+        assert probes(simhash.cheapest_parts(n, near.MAX_BITS), near.MAX_BITS) <= 64 and probes(simhash.cheapest_parts(n, 4), 4) <= 64
+
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 5000, 60)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:7] + [t + " more" for t in texts[:5]])], "doc_id long, text string")
+    bare, members = near.sets_of(docs, members=False), near.sets_of(docs.select("text"), bits=False)
+    assert bare.columns == ["doc_id", "node", "n", "w0", "w1"] and members.columns == ["members", "node", "n"]
+    assert sorted(map(tuple, near.group(bare, members=members).collect())) == sorted(map(tuple, near.group(near.sets_of(docs)).collect()))
+    made = []
+    keep = c.written
+    c.written = lambda df, name: made.append(df.columns) or keep(df, name)
+    try:
+        got = c.simhash_stage(spark, docs.selectExpr("doc_id", "text", "'x' source"), "")
+        assert sorted(x.doc_id for x in got.collect()) == list(range(60)) and all("members" not in columns for columns in made)
+    finally:
+        c.written = keep
+
+
 def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(60))
     rows = [(None, text("a"), "s"), (None, text("b"), "s"), (None, text("b") + " tail", "s"), (None, text("c"), "s"), (5, text("c") + " tail", "s"), (7, text("d"), "s"), (7, text("e"), "s"), (7, text("e"), "s"), (7, text("e"), "t"), (8, text("d"), "s"), (9, None, "s"), (9, "", "s")]
